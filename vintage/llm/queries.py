@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintage.llm import common, decontamination, language_id, packing, quality_classifier, quality_rules, simhash, token_store, warc
+from vintage.llm import common, decontamination, language_id, packing, quality_classifier, quality_rules, simhash, substrings, token_store, warc
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(common.table(spark, sf_dir, "documents"))
+
+
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_binary(common.table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(common.table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_simhash_near_dedup, op3_language_id, op5_best_fit_packing, op6_quality_rules, op8_token_binary, op9_quality_classifier, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_simhash_near_dedup, op3_language_id, op5_best_fit_packing, op6_quality_rules, op7_suffix_array_dedup, op8_token_binary, op9_quality_classifier, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_decontamination": r"""
