@@ -134,7 +134,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.bounded(batches, "text"):
+        for batch in common.bounded(batches, "scored_text"):
             texts, scores = common.byte_list(batch.column(0)), []
             for at in range(0, len(texts), 512):
                 scores.append(sent.value.score(np.array([term_counts(t) for t in texts[at : at + 512]])))
@@ -143,7 +143,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["score double", "predicted int"])
-    return docs.select("text", *keep).mapInArrow(rows, schema)
+    return docs.select(F.col("text").alias("scored_text"), *keep).mapInArrow(rows, schema)
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintage.llm import common, decontamination, language_id, packing, quality_classifier, quality_rules, simhash, substrings, token_store, warc
+from vintage.llm import common, decontamination, html_extract, language_id, packing, quality_classifier, quality_rules, simhash, substrings, token_store, warc
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(common.table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(common.table(spark, sf_dir, "pages"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(common.table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_simhash_near_dedup, op3_language_id, op5_best_fit_packing, op6_quality_rules, op7_suffix_array_dedup, op8_token_binary, op9_quality_classifier, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_simhash_near_dedup, op3_language_id, op4_html_extraction, op5_best_fit_packing, op6_quality_rules, op7_suffix_array_dedup, op8_token_binary, op9_quality_classifier, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_decontamination": r"""

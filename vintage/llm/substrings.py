@@ -279,7 +279,7 @@ def removed_spans(size: int, places: np.ndarray, states: np.ndarray) -> tuple[np
 
 
 def repeats(docs: DataFrame, *keep: str, with_text: bool = False) -> DataFrame:
-    """doc_id, the keep columns, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes): a row for each row of docs.
+    """doc_id, the keep columns, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining text, without characters cut in two): a row for each row of docs.
 
     Null and empty texts have no bytes. Rows of one doc_id are neither the
     smaller; null ids come after all others. Texts under LENGTH bytes lose nothing.
@@ -376,7 +376,7 @@ def repeats(docs: DataFrame, *keep: str, with_text: bool = False) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     extra = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    schema = "doc_id long" + f", {extra}" * bool(keep) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    schema = "doc_id long" + f", {extra}" * bool(keep) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         known, out = _flags_by_document(right), []
@@ -390,8 +390,8 @@ def repeats(docs: DataFrame, *keep: str, with_text: bool = False) -> DataFrame:
                 pieces.append(text[at:a])
                 at = b
             kept = b"".join([*pieces, text[at:]])
-            out.append((doc_id, len(text), len(text) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept))
-        types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+            out.append((doc_id, len(text), len(text) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
+        types = [pa.int64()] * 4 + [pa.string(), pa.string()]
         columns = [pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
         table = pa.table(dict(zip(names, columns)))
