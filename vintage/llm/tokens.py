@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import re
 import zlib
-
-import numpy as np
+from array import array
+from operator import attrgetter
 
 END_ID = 0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 _TWO_BLANKS = re.compile(r"\s\s")
 _SPLIT = re.compile(r" (?=\S)")
+_id = attrgetter("id")
 
 
 def default_vocabulary() -> str:
@@ -37,8 +38,8 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder:
     """encode(text): the ids as little-endian unsigned 32-bit bytes, equal to the library's own encoding of the whole text.
 
-    Strings of special tokens are ordinary text. Memory is bounded by
-    cache_words entries; a full cache starts afresh.
+    Strings of special tokens are ordinary text. Memory is bounded: of
+    cache_words entries the recent ones are kept when as many new have come.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -46,38 +47,54 @@ class WordEncoder:
         import regex
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.model = self.whole.model
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.merge = Tokenizer.from_file(path).model.tokenize
+        self.parts = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = _byte_letters()
-        self.limit, self.words = cache_words, {}
-
-    def _encode_word(self, word: str) -> bytes:
-        ids = []
-        for part in self.pattern.findall(word):
-            ids += [t.id for t in self.model.tokenize(part.encode().decode("latin1").translate(self.letters))]
-        return np.array(ids, "<u4").tobytes()
+        self.blank = self.letters[0x20]
+        self.limit = cache_words
+        self.words: dict[str, bytes] = {}  # as they follow a blank
+        self.before: dict[str, bytes] = {}
+        self.signs = {c: self._any(c) for c in ".,!?;:"}
+
+    def _piece(self, letters: str) -> bytes:
+        """The ids of what the pre-tokeniser leaves whole, in the vocabulary's letters."""
+        return array("I", map(_id, self.merge(letters))).tobytes()
+
+    def _any(self, text: str) -> bytes:
+        return b"".join([self._piece(p.encode().decode("latin1").translate(self.letters)) for p in self.parts(text)])
+
+    def _after_blank(self, word: str) -> bytes:
+        """The ids of a word that follows a blank and isn't in the cache."""
+        before = self.before
+        if word in before:
+            return before[word]
+        if word.isascii():
+            if word.isalpha():
+                return self._piece(self.blank + word)
+            # Letters and one sign: two pieces.
+            stem = word[:-1]
+            if word[-1:] in self.signs and stem.isalpha():
+                ids = self.words.get(stem) or before.get(stem) or self._piece(self.blank + stem)
+                return ids + self.signs[word[-1]]
+        return self._any(" " + word)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         first, *rest = _SPLIT.split(text) if _TWO_BLANKS.search(text) else text.split(" ")
         words = self.words
-        out = [self._encode_word(first)]
-        try:
-            out += [words[w] for w in rest]
-        except KeyError:
-            new = {w for w in rest if w not in words}
-            if len(words) + len(new) > self.limit:
-                words.clear()
-                new = set(rest)
-            for w in new:
-                words[w] = self._encode_word(" " + w)
-            out += [words[w] for w in rest]
+        found = list(map(words.get, rest))
+        if None in found:
+            for k, ids in enumerate(found):
+                if ids is None:
+                    word = rest[k]
+                    ids = words.get(word)
+                    if ids is None:
+                        ids = words[word] = self._after_blank(word)
+                    found[k] = ids
             if len(words) > self.limit:
-                words.clear()
-        return b"".join(out)
+                self.before, self.words = words, {}
+        return self._any(first) + b"".join(found)
 
 
 _encoders: dict[str, WordEncoder] = {}
