@@ -334,6 +334,12 @@ def training_page(draw: random.Random) -> str:
     def item(kind: str) -> str:
         if kind == "nav" or draw.random() < 0.25:
             return "<ul>" + "".join(f'<li><a href="/{word()}">{sentence(draw.randint(1, 3))}</a></li>' for _ in range(draw.randint(2, 9))) + "</ul>"
+        if kind == "header" and draw.random() < 0.7:
+            return draw.choice([f"<h1>{sentence(draw.randint(1, 4))}</h1>", f'<h1><a href="/">{sentence(2)}</a></h1>', f'<a href="/">{sentence(2)}</a>', f"<p>{sentence(draw.randint(2, 6))}</p>", f"<h2>{sentence(2)}</h2><p>{sentence(4)}</p>"])
+        if kind == "notice" and draw.random() < 0.5:
+            return f"<p>{sentence(draw.randint(3, 12))}</p><button>{word()}</button>"
+        if kind in ("aside", "comments", "footer") and draw.random() < 0.3:
+            return f"<{(h := draw.choice(['h2', 'h3', 'h4']))}>{sentence(draw.randint(1, 3))}</{h}>" + item(kind)
         if kind == "form":
             return f"<p>{sentence(4)}</p><label>{word()}</label><input name=q><button>{word()}</button>"
         if kind == "comments":

@@ -396,11 +396,12 @@ def repeats(docs: DataFrame, *keep: str, with_text: bool = False) -> DataFrame:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
         table = pa.table(dict(zip(names, columns)))
         for k, c in enumerate(keep):
-            table = table.add_column(1 + k, c, left.column(c))
+            table = table.add_column(1 + k, c, left.column(f"keep_{k}"))
         return table
 
     block = F.pmod(F.xxhash64("ord"), F.lit(n_blocks)).alias("block")
-    dealt = docs.select(order.alias("ord"), tag.alias("tag"), "doc_id", "text", *keep).select(block, "*")
+    kept = (F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep))
+    dealt = docs.select(order.alias("ord"), tag.alias("tag"), "doc_id", "text", *kept).select(block, "*")
     # Both look at the texts in the same blocks: one exchange serves both.
     around = dealt.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(contexts_of, "bucket long, blob binary")
     starts = around.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(compared, "block long, blob binary")
