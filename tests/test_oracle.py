@@ -1,6 +1,7 @@
 """Every query of the catalogue that has SQL, against that SQL in DuckDB on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from vintage.plans.queries import ORACLE_SQL, QUERIES
@@ -19,7 +20,7 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    clean = lambda v: None if v is None or v != v else str(v).replace(" 00:00:00", "") if not isinstance(v, (int, float)) else round(float(v), 7)
+    clean = lambda v: None if pd.isna(v) else str(v).replace(" 00:00:00", "") if not isinstance(v, (int, float)) else round(float(v), 7)
     return sorted((tuple(map(clean, r)) for r in frame.astype(object).itertuples(index=False)), key=str)
 
 

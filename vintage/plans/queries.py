@@ -36,8 +36,16 @@ def query(sql: str | None = None, *tables: str):
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 8) -> DataFrame:
-    # Adding 0 turns -0.0 into 0.0.
-    return df.withColumns({c: F.round(F.col(c), places) + 0.0 for c in columns})
+    """Columns rounded half away from zero on the scaled double, as SQL's round does; F.round rounds the decimal print, which parts at ties."""
+    unit = float(10**places)
+
+    def at(name):
+        scaled = F.col(name).cast("double") * unit
+        # Doubles from 2**53 on, and NaN, have no digits to round. Adding 0 turns -0.0 into 0.0.
+        near = F.when(F.abs(scaled) < 2.0**53, F.signum(scaled) * F.floor(F.abs(scaled) + 0.5)).otherwise(scaled)
+        return near / unit + 0.0
+
+    return df.withColumns({c: at(c) for c in columns})
 
 
 def decisions(t: Tables, every: int = 21) -> DataFrame:
