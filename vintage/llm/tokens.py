@@ -36,10 +36,12 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """encode(text): the ids as little-endian unsigned 32-bit bytes, equal to the library's own encoding of the whole text.
+    """ids(text): the ids as little-endian unsigned 32-bit bytes, equal to the library's own encoding of the whole text.
 
-    Strings of special tokens are ordinary text. Memory is bounded: of
-    cache_words entries the recent ones are kept when as many new have come.
+    ids() finds the file's added tokens in the text, as the library does
+    unless told otherwise; to encode() their strings are ordinary text.
+    Memory is bounded: of cache_words entries the recent ones are kept when
+    as many new have come.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -47,7 +49,13 @@ class WordEncoder:
         import regex
         from tokenizers import Tokenizer
 
-        self.merge = Tokenizer.from_file(path).model.tokenize
+        self.library = Tokenizer.from_file(path)
+        self.merge = self.library.model.tokenize
+        added = self.library.get_added_tokens_decoder()
+        self.added = {t.content: array("I", [k]).tobytes() for k, t in added.items()}
+        # Tokens that take blanks around them, or whole words or normalised text only, are left to the library.
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         self.parts = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = _byte_letters()
         self.blank = self.letters[0x20]
@@ -96,6 +104,13 @@ class WordEncoder:
                 self.before, self.words = words, {}
         return self._any(first) + b"".join(found)
 
+    def ids(self, text: str | None) -> bytes:
+        if not text or not any(t in text for t in self.added):
+            return self.encode(text)
+        if not self.plain:
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join([self.added[p] if k % 2 else self.encode(p) for k, p in enumerate(self.at_added(text))])
+
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -109,7 +124,7 @@ def encoder(path: str) -> WordEncoder:
 
 def document_ids(path: str, text: str | None) -> bytes:
     """The ids of a document, end id last, as little-endian unsigned 32-bit bytes."""
-    return encoder(path).encode(text) + END_ID.to_bytes(4, "little")
+    return encoder(path).ids(text) + END_ID.to_bytes(4, "little")
 
 
 def crc(ids: bytes) -> int:
