@@ -29,22 +29,26 @@ from pyspark.sql import DataFrame
 from vintage.llm import common
 
 BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript object ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTROLS = frozenset("input select textarea button label option".split())
 #: A start tag of the key ends an open element of the values, up to the nearest of SCOPES.
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol menu dl table html body article section div main aside nav header footer form td th".split())
-RAW = "script|style|noscript|template|iframe|svg|math|textarea|select|title|object"
+#: Elements whose content is code, a control's or not shown, up to the end tag of the same name. Without one, or closed by a slash, those that aren't CODE are like any other element.
+RAW_END = {name: re.compile(rf"</{name}\b[^>]*+>", re.I) for name in "script style iframe textarea select title template".split()}
+CODE = ("script", "style")
+#: Elements that a page may have before its body.
+HEAD = frozenset("base link meta noscript script style template title".split())
+DRAWN = ("svg", "math")
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?:{RAW})\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)>",
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)>",
     re.S | re.I,
 )
-RAW_START = re.compile(rf"<({RAW})\b", re.I)
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 ATTRIBUTE_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-PARAGRAPH_ENDS = frozenset(BLOCKS - {"html", "body"})
+PARAGRAPH_ENDS = frozenset(BLOCKS - {"html", "body", "noscript", "object"})
 
 
 @dataclass
@@ -84,10 +88,21 @@ def parse(source: str) -> Page:
     page = Page()
     root = page.add("html", -1, (), 0)
     stack: list[tuple[str, int]] = [("html", root)]  # open elements with the block node each is in
-    links, pieces, at = 0, [], 0
+    links, drawn, pieces, at = 0, 0, [], 0
+    body, unclosed = -1, set()
+
+    def open_body() -> None:
+        """What isn't in another element is in the body, whether or not a tag says so."""
+        nonlocal body
+        if len(stack) == 1:
+            close()
+            body = page.add("body", root, (), page.label[root]) if body < 0 else body
+            stack.append(("body", body))
 
     def text(piece: str) -> None:
         if piece:
+            if len(stack) == 1 and not piece.isspace():
+                open_body()
             pieces.append((piece, links > 0))
 
     def close() -> None:
@@ -105,22 +120,19 @@ def parse(source: str) -> Page:
         pieces.clear()
 
     def pop_to(k: int) -> None:
-        nonlocal links
+        nonlocal links, drawn
         while len(stack) > k:
             if stack[-1][0] in BLOCKS:
                 close()
-            links -= stack.pop()[0] == "a"
+            name = stack.pop()[0]
+            links -= name == "a"
+            drawn -= name in DRAWN
 
-    for m in TOKEN.finditer(source):
+    while m := TOKEN.search(source, at):
         text(source[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
         if not name:
-            if raw := RAW_START.match(m[0]):
-                page.tags[stack[-1][1]] += 1
-                page.controls[stack[-1][1]] += raw[1].lower() in CONTROLS
-            elif not m[0].startswith("<!--"):
-                continue
             continue
         name, ends, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if ends:
@@ -133,12 +145,23 @@ def parse(source: str) -> Page:
                 if stack[k][0] in SCOPES and name not in BLOCKS:
                     break
             continue
-        if name in ("html", "head"):
+        if name in ("html", "head") or name == "body" and body >= 0:
             continue
+        if name not in HEAD and name != "body":
+            open_body()
+        if name in RAW_END and name not in unclosed and (name in CODE or not attributes.endswith("/")):
+            if end := RAW_END[name].search(source, at):
+                at = end.end()
+            elif name in CODE:
+                at = len(source)
+            else:
+                unclosed.add(name)
+            if name not in unclosed:
+                page.tags[stack[-1][1]] += not drawn
+                page.controls[stack[-1][1]] += name in CONTROLS
+                continue
         if name == "br":
             text(" ")
-        if name == "body" and any(t == "body" for t, _ in stack):
-            continue
         if name in PARAGRAPH_ENDS:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
@@ -157,12 +180,15 @@ def parse(source: str) -> Page:
             close()
             words, label = _attributes(attributes) if "=" in attributes else ((), None)
             node = page.add(name, node, words, page.label[node] if label is None else label)
+            if name == "body":
+                body = node
         else:
-            page.tags[node] += 1
+            page.tags[node] += not drawn  # a drawing or formula counts as one
             page.controls[node] += name in CONTROLS
         if name not in VOID and not attributes.endswith("/"):
             stack.append((name, node))
             links += name == "a"
+            drawn += name in DRAWN
     text(source[at:])
     pop_to(1)
     close()
