@@ -151,16 +151,17 @@ def _blobs(names: list[str], rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def block_of(order: np.ndarray, n_blocks: int) -> np.ndarray:
-    """The block of each document order number, as pmod(xxhash64(order), n_blocks) in SQL."""
+    """The block of each document by its order number and tag XORed, as pmod(xxhash64(order), n_blocks) in SQL."""
     own, code = np.unique(order, return_inverse=True)
     hashed = [int.from_bytes(xxhash.xxh64_digest(int(o).to_bytes(8, "little", signed=True), 42), "big", signed=True) % n_blocks for o in own.tolist()]
     return np.array(hashed, np.int64)[code] if len(own) else np.zeros(0, np.int64)
 
 
-ENTRY = "V6 V6 <i8 <u4 <u4"  # anchor hash, context hash, order, tag, position
-FLAG = "<i8 <u4 <u4 u1"  # order, tag, position, state
+# Tags are whole hashes ("<i8") where ids repeat, else zeros ("u1").
+ENTRY = "V6 V6 <i8 {} <u4"  # anchor hash, context hash, order, tag, position
+FLAG = "<i8 {} <u4 u1"  # order, tag, position, state
 SETTLED, OPEN, START = 1, 2, 3
-CONTEXT = f"<u8 <i8 <u4 <u4 u1 u1 V{ROW}"  # anchor hash, order, tag, position, bytes before, bytes from there, context
+CONTEXT = f"<u8 <i8 {{}} <u4 u1 u1 V{ROW}"  # anchor hash, order, tag, position, bytes before, bytes from there, context
 
 
 def shared_anchors(grams: np.ndarray, contexts: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -254,8 +255,8 @@ def _document_columns(left: pa.Table) -> Iterator[tuple[int, int, int | None, by
         yield order[k], tag[k], doc_id[k], chunk.as_py() or b""
 
 
-def _flags_by_document(right: pa.Table) -> dict[tuple[int, int], list[np.ndarray]]:
-    blobs = [_decode(b, FLAG) for b in right.column("blob").to_pylist()]
+def _flags_by_document(right: pa.Table, mark_kind: str) -> dict[tuple[int, int], list[np.ndarray]]:
+    blobs = [_decode(b, FLAG.format(mark_kind)) for b in right.column("blob").to_pylist()]
     if not blobs:
         return {}
     order, tag, place, state = (np.concatenate(c) for c in zip(*blobs))
@@ -290,7 +291,8 @@ def repeats(docs: DataFrame, *keep: str, with_text: bool = False) -> DataFrame:
     n_blocks = max(n, -(-total // BLOCK_BYTES))
     repeated_ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
     # Rows that share an id are told apart by a hash of their text.
-    tag = F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)) if repeated_ids else F.lit(0).cast("long")
+    tag = F.xxhash64("text") if repeated_ids else F.lit(0).cast("long")
+    mark_kind = "<i8" if repeated_ids else "u1"
     order = F.coalesce("doc_id", F.lit(LAST))
     texts = docs.select(order.alias("ord"), tag.alias("tag"), "text")
 
@@ -315,11 +317,11 @@ def repeats(docs: DataFrame, *keep: str, with_text: bool = False) -> DataFrame:
                 continue
             grams, contexts, ids, marks, places = (np.concatenate(c) for c in zip(*found))
             bucket = (grams >> np.uint64(48)).astype(np.int64) % n_blocks
-            out = [(key, _columns(_six(grams[by[s]]), _six(contexts[by[s]]), ids[by[s]].astype("<i8"), marks[by[s]].astype("<u4"), places[by[s]].astype("<u4"))) for key, s, by in _split(bucket)]
+            out = [(key, _columns(_six(grams[by[s]]), _six(contexts[by[s]]), ids[by[s]].astype("<i8"), marks[by[s]].astype(mark_kind), places[by[s]].astype("<u4"))) for key, s, by in _split(bucket)]
             yield _blobs(["bucket", "blob"], out)
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (grams, contexts, ids, marks, places) in _gathered(batches, ENTRY):
+        for _, (grams, contexts, ids, marks, places) in _gathered(batches, ENTRY.format(mark_kind)):
             state = shared_anchors(_from_six(grams), _from_six(contexts), ids)
             kept = np.flatnonzero(state)
             if not len(kept):
@@ -327,13 +329,13 @@ def repeats(docs: DataFrame, *keep: str, with_text: bool = False) -> DataFrame:
             ids, marks, places, state = ids[kept], marks[kept], places[kept], state[kept]
             by = np.lexsort((places, ids))
             ids, marks, places, state = ids[by], marks[by], places[by], state[by]
-            yield _blobs(["block", "blob"], [(key, _columns(ids[o[s]], marks[o[s]], places[o[s]], state[o[s]])) for key, s, o in _split(block_of(ids, n_blocks))])
+            yield _blobs(["block", "blob"], [(key, _columns(ids[o[s]], marks[o[s]], places[o[s]], state[o[s]])) for key, s, o in _split(block_of(ids ^ marks, n_blocks))])
 
     buckets = texts.mapInArrow(entries, "bucket long, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     flags = common.written(buckets.mapInArrow(states, "block long, blob binary"), "anchors")
 
     def contexts_of(left: pa.Table, right: pa.Table) -> pa.Table:
-        wanted, found = _flags_by_document(right), []
+        wanted, found = _flags_by_document(right, mark_kind), []
         for own, mark, _, text in _document_columns(left):
             if (own, mark) in wanted:
                 places, state = wanted.pop((own, mark))
@@ -349,11 +351,11 @@ def repeats(docs: DataFrame, *keep: str, with_text: bool = False) -> DataFrame:
             rows = np.ascontiguousarray(rows)
             for key, s, o in _split((grams >> np.uint64(48)).astype(np.int64) % n_blocks):
                 k = o[s]
-                out.append((key, _columns(grams[k], ids[k].astype("<i8"), marks[k].astype("<u4"), places[k].astype("<u4"), before[k].astype(np.uint8), after[k].astype(np.uint8), rows[k])))
+                out.append((key, _columns(grams[k], ids[k].astype("<i8"), marks[k].astype(mark_kind), places[k].astype("<u4"), before[k].astype(np.uint8), after[k].astype(np.uint8), rows[k])))
         return pa.Table.from_batches([_blobs(["bucket", "blob"], out)])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (grams, ids, marks, places, before, after, rows) in _gathered(batches, CONTEXT):
+        for _, (grams, ids, marks, places, before, after, rows) in _gathered(batches, CONTEXT.format(mark_kind)):
             rows = np.ascontiguousarray(rows).view(np.uint8).reshape(-1, ROW)
             by = np.argsort(grams, kind="stable")
             own = grams[by]
@@ -372,14 +374,14 @@ def repeats(docs: DataFrame, *keep: str, with_text: bool = False) -> DataFrame:
             found_ids, found_marks, starts = (np.concatenate(c) for c in zip(*out))
             if len(starts):
                 state = np.full(len(starts), START, np.uint8)
-                yield _blobs(["block", "blob"], [(key, _columns(found_ids[o[s]], found_marks[o[s]], starts[o[s]].astype("<u4"), state[o[s]])) for key, s, o in _split(block_of(found_ids, n_blocks))])
+                yield _blobs(["block", "blob"], [(key, _columns(found_ids[o[s]], found_marks[o[s]], starts[o[s]].astype("<u4"), state[o[s]])) for key, s, o in _split(block_of(found_ids ^ found_marks, n_blocks))])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     extra = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
     schema = "doc_id long" + f", {extra}" * bool(keep) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        known, out = _flags_by_document(right), []
+        known, out = _flags_by_document(right, mark_kind), []
         none = [np.zeros(0, np.int64), np.zeros(0, np.uint8)]
         for own, mark, doc_id, text in _document_columns(left):
             places, state = known.get((own, mark), none)
@@ -399,7 +401,8 @@ def repeats(docs: DataFrame, *keep: str, with_text: bool = False) -> DataFrame:
             table = table.add_column(1 + k, c, left.column(f"keep_{k}"))
         return table
 
-    block = F.pmod(F.xxhash64("ord"), F.lit(n_blocks)).alias("block")
+    # With the tag, rows that share an id are dealt over the blocks.
+    block = F.pmod(F.xxhash64(F.col("ord").bitwiseXOR(F.col("tag"))), F.lit(n_blocks)).alias("block")
     kept = (F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep))
     dealt = docs.select(order.alias("ord"), tag.alias("tag"), "doc_id", "text", *kept).select(block, "*")
     # Both look at the texts in the same blocks: one exchange serves both.
