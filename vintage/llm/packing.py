@@ -135,8 +135,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: i
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.bounded(batches, "text"):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = tokens.document_ids(vocabulary, text)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.documents_ids(vocabulary, batch.column(1).to_pylist())):
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + length)]
                     rows.append((doc_id, k, start, length, tokens.crc(own), own)[: len(names)])
