@@ -2,35 +2,46 @@
 
 A file holds one shard: the documents of a range of ids, in ascending order.
 
-    8 bytes  magic "VTOKENS1"
-    u32 x 4  shard partition, shard number in it, bytes an id (2 or 4), low bits an end (l)
+    8 bytes  magic "VTOKENS2"
+    u32 x 6  shard partition, shard number in it, bytes an id (2 or 4), low bits an end, low bits a doc_id, documents without a doc_id (m, the first ones)
     u64 x 2  documents (n), ids (u)
-    n x i64  doc_id, then ceil(n / 8) bytes: bit set where doc_id is null
-    low      n ends (ids up to and with each document), their l low bits each, packed
-    high     unary: end i sets bit (end_i >> l) + i of n + (u >> l) + 1 bits
-    select   u32 place of every 64th set bit of high
+    i64, u64 smallest doc_id, largest less smallest (v)
+    ends     Elias-Fano: n values up to u, ids up to and with each document
+    doc_ids  Elias-Fano: n - m values up to v, doc_id less the smallest
     ids      u of them
 
-Ends cost 2 + log2(u / n) bits a document and no 64-bit table; select() finds
-one end from a sample and a popcount scan of at most a few words.
+An Elias-Fano sequence of n values up to u, l low bits each:
+
+    low      the values' low bits, packed
+    high     unary: value i sets bit (value >> l) + i of n + (u >> l) + 1 bits
+    select   u32 place of every 64th set bit of high
+
+It costs 2 + log2(u / n) bits a value and no 64-bit table; select() finds any
+of its values from a sample and a popcount scan of a few bytes.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vintage.llm import common, tokens
 
-MAGIC = b"VTOKENS1"
+MAGIC = b"VTOKENS2"
+HEADER = struct.Struct("<8s6I2QqQ")
 SELECT_STEP = 64
 SHARD_IDS = 4_000_000
+SHARD_DOCUMENTS = 1 << 18
+#: Bytes of a text by which rows of one doc_id are ordered.
+HEAD_BYTES = 32
+#: Place of the k-th set bit of each byte.
+_PLACES = np.array([([b for b in range(8) if x >> b & 1] + [8] * 8)[:8] for x in range(256)], np.int64)
 
 
 class EliasFano:
@@ -70,26 +81,28 @@ class EliasFano:
         part = lambda at, size, kind: np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at)
         return cls(n, u, l, part(0, a, np.uint8), part(a, b, np.uint8), part(a + b, c, "<u4")), a + b + c
 
-    def _low(self, i: int) -> int:
-        first, value = i * self.l, 0
+    def select(self, i) -> np.ndarray:
+        """The i-th values, for a number or an array of numbers."""
+        i = np.asarray(i, np.int64)
+        at = self.samples[i // SELECT_STEP].astype(np.int64)
+        left = np.array(i % SELECT_STEP)
+        byte = at >> 3
+        value = self.high[byte] & (0xFF << (at & 7) & 0xFF).astype(np.uint8)
+        open_ = np.ones(i.shape, bool)
+        while True:
+            ones = np.bitwise_count(value).astype(np.int64)
+            open_ &= ones <= left
+            if not open_.any():
+                break
+            left -= np.where(open_, ones, 0)
+            byte = byte + open_
+            value = np.where(open_, self.high[np.minimum(byte, len(self.high) - 1)], value)
+        high = (byte * 8 + _PLACES[value, left] - i).astype(np.uint64) << np.uint64(self.l)
+        first, low = i * self.l, np.zeros(i.shape, np.uint64)
         for k in range(self.l):
-            at = first + k
-            value |= (int(self.low[at >> 3]) >> (at & 7) & 1) << k
-        return value
-
-    def select(self, i: int) -> int:
-        """The i-th value."""
-        at = int(self.samples[i // SELECT_STEP])
-        left = i % SELECT_STEP
-        byte, value = at >> 3, int(self.high[at >> 3]) & (0xFF << (at & 7)) & 0xFF
-        while (ones := value.bit_count()) <= left:
-            left -= ones
-            byte += 1
-            value = int(self.high[byte])
-        for _ in range(left):
-            value &= value - 1
-        place = byte * 8 + (value & -value).bit_length() - 1
-        return (place - i) << self.l | self._low(i)
+            bit = first + k
+            low |= (self.low[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(np.uint64) << np.uint64(k)
+        return high | low
 
     def values(self) -> np.ndarray:
         """All values at once."""
@@ -101,73 +114,103 @@ class EliasFano:
         return high | (bits << np.arange(self.l, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
-def encode_shard(partition: int, number: int, doc_ids: list[int | None], pieces: list[bytes]) -> bytes:
-    """The bytes of one shard from its documents' ids, each given as little-endian unsigned 32-bit bytes."""
+def encode_shard(partition: int, number: int, doc_ids: list[int | None], pieces: list[np.ndarray]) -> bytes:
+    """The bytes of one shard from its documents' ids, each given as an array; doc_ids ascend, None first."""
     n = len(doc_ids)
-    ends = np.cumsum([len(p) // 4 for p in pieces], dtype=np.uint64) if n else np.zeros(0, np.uint64)
+    ends = np.cumsum([len(p) for p in pieces], dtype=np.uint64) if n else np.zeros(0, np.uint64)
     u = int(ends[-1]) if n else 0
-    ids = np.frombuffer(b"".join(pieces), "<u4")
+    ids = np.concatenate(pieces) if n else np.zeros(0, "<u2")
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-    ef = EliasFano.build(ends, u)
-    known = np.array([d if d is not None else 0 for d in doc_ids], "<i8")
-    nulls = np.packbits(np.array([d is None for d in doc_ids], np.uint8), bitorder="little")
-    head = MAGIC + struct.pack("<IIIIQQ", partition, number, width, ef.l, n, u)
-    return head + known.tobytes() + nulls.tobytes() + ef.to_bytes() + ids.astype(f"<u{width}").tobytes()
+    known = [d for d in doc_ids if d is not None]
+    least, v = (known[0], known[-1] - known[0]) if known else (0, 0)
+    # Differences of 64-bit numbers, unsigned.
+    above = np.array(known, np.int64).view(np.uint64) - np.array([least], np.int64).view(np.uint64)
+    boundaries, names = EliasFano.build(ends, u), EliasFano.build(above, v)
+    head = HEADER.pack(MAGIC, partition, number, width, boundaries.l, names.l, n - len(known), n, u, least, v)
+    return head + boundaries.to_bytes() + names.to_bytes() + ids.astype(f"<u{width}").tobytes()
 
 
 def decode_shard(data: bytes) -> tuple[int, int, list[int | None], EliasFano, np.ndarray]:
     """(partition, number, doc_ids, ends, ids) of a shard; bytes after its end are ignored."""
     view = memoryview(data)
-    if bytes(view[:8]) != MAGIC:
+    if len(view) < HEADER.size or bytes(view[: len(MAGIC)]) != MAGIC:
         raise ValueError("not a token shard")
-    partition, number, width, low_bits, n, u = struct.unpack_from("<IIIIQQ", view, 8)
-    at = 8 + 32
-    known = np.frombuffer(view, "<i8", n, at)
-    nulls = np.unpackbits(np.frombuffer(view, np.uint8, (n + 7) // 8, at + 8 * n), bitorder="little")[:n]
-    at += 8 * n + (n + 7) // 8
-    ef, used = EliasFano.from_buffer(view[at:], n, u, low_bits)
-    ids = np.frombuffer(view, f"<u{width}", u, at + used)
-    return partition, number, [None if z else int(d) for d, z in zip(known, nulls)], ef, ids
+    _, partition, number, width, end_bits, id_bits, nulls, n, u, least, v = HEADER.unpack_from(view)
+    ends, used = EliasFano.from_buffer(view[HEADER.size :], n, u, end_bits)
+    at = HEADER.size + used
+    names, used = EliasFano.from_buffer(view[at:], n - nulls, v, id_bits)
+    known = (names.select(np.arange(n - nulls)) + np.array([least], np.int64).view(np.uint64)).view(np.int64)
+    return partition, number, [None] * nulls + known.tolist(), ends, np.frombuffer(view, f"<u{width}", u, at + used)
+
+
+def _cuts(docs: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """Partitions for rows without a doc_id, and the doc_ids up to which the others but the last reach; a frequent one stands several times."""
+    fractions = [k / n for k in range(1, n)]
+    found = docs.agg(F.count("*").alias("rows"), F.count("doc_id").alias("known"), F.percentile_approx("doc_id", fractions, max(10_000, 20 * n)).alias("cuts") if fractions else F.array().alias("cuts")).first()
+    if not found["known"]:
+        return n, np.zeros(0, np.int64)
+    nulls = -(-n * (found["rows"] - found["known"]) // found["rows"])
+    return nulls, np.array(found["cuts"], np.int64)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, shard_ids: int = SHARD_IDS) -> None:
     """Encode every text of docs (doc_id, text; null: empty) and write shard files below path.
 
-    Documents are dealt by ranges of doc_id and sorted, so that (partition,
-    number) orders shards as their documents' ids; nulls come first, equal ids
-    stay together in one partition, by text. An empty table gives no shard.
+    Texts are encoded where they are read, and their ids dealt by ranges of
+    doc_id and sorted, so that (partition, number) orders shards as their
+    documents' ids. Nulls come first. Rows of one doc_id are ordered by the
+    first bytes of their texts; if they fill several partitions, they are
+    dealt over those by a hash of the text. An empty table gives no shard.
     Memory: one shard of shard_ids ids and one document.
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or tokens.default_vocabulary()
+    n = common.partitions(spark)
+    nulls, cuts = _cuts(docs, n)
+    kind = tokens.id_kind(vocabulary)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.bounded(batches, "text"):
+            texts = batch.column(1).to_pylist()
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            doc_ids = batch.column(0).fill_null(0).to_numpy()
+            low, high = np.searchsorted(cuts, doc_ids, "left"), np.searchsorted(cuts, doc_ids, "right")
+            dealt = np.where(known, nulls + low, 0)
+            for k in np.flatnonzero(np.where(known, high - low, nulls) > 1).tolist():
+                dealt[k] += zlib.crc32((texts[k] or "").encode()) % int(high[k] - low[k] if known[k] else nulls)
+            heads = [None if t is None else t[:HEAD_BYTES].encode()[:HEAD_BYTES] for t in texts]
+            ids = [np.append(own, tokens.END_ID).astype(kind).tobytes() for own in tokens.encoder(vocabulary).batch(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(dealt.astype(np.int32)), batch.column(0), pa.array(heads, pa.binary()), pa.array(ids, pa.binary())], ["dealt", "doc_id", "head", "ids"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition, number, ids, pieces, size = TaskContext.get().partitionId(), 0, [], [], 0
+        partition, number, ids, pieces, size = None, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([encode_shard(partition, number, ids, pieces)], pa.binary())], ["shard"])
 
-        for batch in common.bounded(batches, "text"):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(doc_id)
-                pieces.append(tokens.document_ids(vocabulary, text))
-                size += len(pieces[-1]) // 4
-                if size >= shard_ids:
+        for batch in batches:
+            for own, doc_id, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if ids and (own != partition or size >= shard_ids or len(ids) >= SHARD_DOCUMENTS):
                     yield flush()
                     number, ids, pieces, size = number + 1, [], [], 0
+                partition = own
+                ids.append(doc_id)
+                pieces.append(np.frombuffer(piece.as_buffer(), kind).copy())
+                size += len(pieces[-1])
         if ids:
             yield flush()
 
-    dealt = docs.select("doc_id", "text").repartitionByRange(common.partitions(spark), F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    rows = dealt.mapInArrow(shards, "shard binary")
-    # One row a file: the text writer puts the bytes down as they are.
-    rows.select(F.col("shard").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    rows = docs.select("doc_id", "text").mapInArrow(encoded, "dealt int, doc_id long, head binary, ids binary")
+    rows = rows.repartitionById(nulls + len(cuts) + 1, F.col("dealt")).sortWithinPartitions("dealt", "doc_id", "head", F.length("ids"), F.crc32("ids"))
+    # One row a file. The text writer puts a string's bytes down as they are, UTF-8 or not; the round trips in the tests would notice if it did not.
+    rows.select("dealt", "doc_id", "ids").mapInArrow(shards, "shard binary").select(F.col("shard").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """The documents of the shard files below path: shard place, doc_id, start, n_tokens, ids_crc32 (and ids).
 
-    start counts the ids of all documents before, over all shards.
+    start counts the ids of all documents before, over all shards. The files
+    are read once; what they say of their documents is a table in the shared folder.
     """
     schema = "shard_partition int, shard_number int, place int, doc_id long, local_start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
 
@@ -177,25 +220,21 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 buffer = content.as_buffer()
                 if not buffer.size:
                     continue
-                partition, number, doc_ids, ef, ids = decode_shard(buffer)
-                ends = ef.values().astype(np.int64)
-                starts = np.r_[0, ends[:-1]].astype(np.int64)
-                wide = [ids[a:b].astype("<u4").tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+                partition, number, doc_ids, boundaries, ids = decode_shard(buffer)
                 n = len(doc_ids)
-                columns = [pa.array([partition] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array([tokens.crc(w) for w in wide], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(wide, pa.binary())] * with_ids, [x.split()[0] for x in schema.split(", ")])
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            heads = [struct.unpack_from("<IIIIQQ", h, 8) for h in batch.column(0).to_pylist() if h]
-            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in heads], pa.int32()), pa.array([h[1] for h in heads], pa.int32()), pa.array([h[5] for h in heads], pa.int64())], ["shard_partition", "shard_number", "shard_ids"])
+                ends = boundaries.select(np.arange(n)).astype(np.int64)
+                starts = np.r_[0, ends[:-1]].astype(np.int64)
+                wide = memoryview(ids.astype("<u4")).cast("B")
+                own = [wide[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
+                columns = [pa.array([partition] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array([tokens.crc(w) for w in own], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array([bytes(w) for w in own], pa.binary())] * with_ids, [x.split()[0] for x in schema.split(", ")])
 
     files = spark.read.format("binaryFile").load(path)
-    rows = files.select("content").mapInArrow(documents, schema)
-    # A row a shard, from its header: the running sum over shards is small whatever the documents are.
-    shards = files.select(F.substring("content", 1, 40).alias("head")).mapInArrow(totals, "shard_partition int, shard_number int, shard_ids long")
+    rows = common.written(files.select("content").mapInArrow(documents, schema), "token-documents")
+    # A row a shard: the running sum over shards is small whatever the documents are.
+    totals = rows.groupBy("shard_partition", "shard_number").agg(F.sum("n_tokens").alias("shard_ids"))
     before = Window.orderBy("shard_partition", "shard_number").rowsBetween(Window.unboundedPreceding, -1)
-    shards = shards.select("shard_partition", "shard_number", F.coalesce(F.sum("shard_ids").over(before), F.lit(0)).alias("shard_start"))
+    shards = totals.select("shard_partition", "shard_number", F.coalesce(F.sum("shard_ids").over(before), F.lit(0)).alias("shard_start"))
     joined = rows.join(shards, ["shard_partition", "shard_number"])
     return joined.select("shard_partition", "shard_number", "place", "doc_id", (F.col("shard_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
@@ -205,7 +244,10 @@ def token_binary(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     doc_id, start, n_tokens, ids_crc32. Null or empty texts hold the end id
     alone; equal doc_ids each keep their row; an empty table gives no rows.
+    The files go when they have been read.
     """
     path = common.scratch_path(docs.sparkSession, "token-store")
     write(docs, path, vocabulary)
-    return read(docs.sparkSession, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    found = read(docs.sparkSession, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    common.drop_path(docs.sparkSession, path)
+    return found
