@@ -14,6 +14,7 @@ adverts, forms and comments, in the tags and class names that sites give them.
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import random
@@ -47,6 +48,9 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Elements that a browser doesn't show have this attribute token.
+UNSHOWN = "displaynone"
+HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w=-])|(?<![\w-])(?:hidden\s*=|aria-hidden\s*=\s*["']?true)|style\s*=\s*(?:"[^"]*|'[^']*|)(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
 ATTRIBUTE_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 PARAGRAPH_ENDS = frozenset(BLOCKS - {"html", "body", "noscript", "object"})
 
@@ -77,17 +81,60 @@ def _attributes(text: str) -> tuple[tuple[str, ...], int | None]:
     for name, *values in ATTRIBUTE.findall(text):
         value = next((v for v in values if v), "")
         if name.lower() == "data-y":
-            label = int(value)
+            label = {"0": 0, "1": 1}.get(value, label)
         else:
             words += [w.lower() for w in ATTRIBUTE_WORD.findall(value)]
     return tuple(words), label
 
 
-def parse(source: str) -> Page:
-    """The block-level tree of a page, however broken its markup."""
+class Open:
+    """The open elements, each with the block node it is in, and where those of a name are."""
+
+    def __init__(self, root: int):
+        self.stack: list[tuple[str, int]] = [("html", root)]
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = [0]
+        self.outer: list[int] = [0]  # scopes that aren't table cells
+
+    def push(self, name: str, node: int) -> None:
+        k = len(self.stack)
+        self.places.setdefault(name, []).append(k)
+        if name in SCOPES:
+            self.scopes.append(k)
+            if name not in ("td", "th"):
+                self.outer.append(k)
+        self.stack.append((name, node))
+
+    def pop(self) -> str:
+        name = self.stack.pop()[0]
+        self.places[name].pop()
+        if name in SCOPES:
+            self.scopes.pop()
+            if name not in ("td", "th"):
+                self.outer.pop()
+        return name
+
+    def last(self, name: str) -> int:
+        """The place of the innermost element of a name, 0 if none is open."""
+        own = self.places.get(name)
+        return own[-1] if own else 0
+
+    def first_of(self, names: tuple[str, ...]) -> int:
+        """The place of the outermost element of some names within the innermost scope that isn't a cell, 0 if none is."""
+        found = []
+        for name in names:
+            own = self.places.get(name, ())
+            at = bisect.bisect_right(own, self.outer[-1])
+            found += own[at : at + 1]
+        return min(found, default=0)
+
+
+def parse(source: str, labels: bool = True) -> Page:
+    """The block-level tree of a page, however broken its markup; with labels, those that training pages carry."""
     page = Page()
     root = page.add("html", -1, (), 0)
-    stack: list[tuple[str, int]] = [("html", root)]  # open elements with the block node each is in
+    opened = Open(root)
+    stack = opened.stack
     links, drawn, pieces, at = 0, 0, [], 0
     body, unclosed = -1, set()
 
@@ -97,7 +144,7 @@ def parse(source: str) -> Page:
         if len(stack) == 1:
             close()
             body = page.add("body", root, (), page.label[root]) if body < 0 else body
-            stack.append(("body", body))
+            opened.push("body", body)
 
     def text(piece: str) -> None:
         if piece:
@@ -124,7 +171,7 @@ def parse(source: str) -> Page:
         while len(stack) > k:
             if stack[-1][0] in BLOCKS:
                 close()
-            name = stack.pop()[0]
+            name = opened.pop()
             links -= name == "a"
             drawn -= name in DRAWN
 
@@ -136,14 +183,12 @@ def parse(source: str) -> Page:
             continue
         name, ends, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if ends:
-            if name == "p" and not any(t == "p" for t, _ in stack):
+            place = opened.last(name)
+            if name == "p" and not place:
                 close()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    pop_to(k)
-                    break
-                if stack[k][0] in SCOPES and name not in BLOCKS:
-                    break
+            # An end tag reaches beyond a scope for a block only.
+            if place and (name in BLOCKS or place > opened.scopes[-1]):
+                pop_to(place)
             continue
         if name in ("html", "head") or name == "body" and body >= 0:
             continue
@@ -162,31 +207,24 @@ def parse(source: str) -> Page:
                 continue
         if name == "br":
             text(" ")
-        if name in PARAGRAPH_ENDS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    pop_to(k)
-                    break
-                if stack[k][0] in SCOPES:
-                    break
-        if name in IMPLIED:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in IMPLIED[name]:
-                    pop_to(k)
-                elif stack[k][0] in SCOPES and stack[k][0] not in ("td", "th"):
-                    break
+        if name in PARAGRAPH_ENDS and opened.last("p") > opened.scopes[-1]:
+            pop_to(opened.last("p"))
+        if name in IMPLIED and (place := opened.first_of(IMPLIED[name])):
+            pop_to(place)
         node = stack[-1][1]
         if name in BLOCKS:
             close()
             words, label = _attributes(attributes) if "=" in attributes else ((), None)
-            node = page.add(name, node, words, page.label[node] if label is None else label)
+            if attributes and HIDDEN.search(attributes):
+                words += (UNSHOWN,)
+            node = page.add(name, node, words, page.label[node] if label is None or not labels else label)
             if name == "body":
                 body = node
         else:
             page.tags[node] += not drawn  # a drawing or formula counts as one
             page.controls[node] += name in CONTROLS
         if name not in VOID and not attributes.endswith("/"):
-            stack.append((name, node))
+            opened.push(name, node)
             links += name == "a"
             drawn += name in DRAWN
     text(source[at:])
@@ -195,7 +233,9 @@ def parse(source: str) -> Page:
     return page
 
 
-FEATURES = 20
+FEATURES = 22
+#: Tags of parts of a page.
+REGIONS = frozenset("article aside footer form header main nav section".split())
 
 
 def features(page: Page, tag_odds: dict[str, float], word_odds: dict[str, float]) -> np.ndarray:
@@ -219,9 +259,12 @@ def features(page: Page, tag_odds: dict[str, float], word_odds: dict[str, float]
     tag = [tag_odds.get(t, 0.0) for t in page.tag]
     word = [max(-4.0, min(4.0, sum(word_odds.get(w, 0.0) for w in ws))) for ws in page.words]
     seen, depth = [0] * n, [0] * n
-    worst_tag, best_tag, worst_word, best_word = ([0.0] * n for _ in range(4))
+    worst_tag, best_tag, worst_word, best_word, last_tag, last_word = ([0.0] * n for _ in range(6))
     for k in range(n):
         up, total = page.parent[k], max(chars[k], 1)
+        # The innermost region around that tells by its tag, or by its name.
+        last_tag[k] = tag[k] if page.tag[k] in REGIONS else last_tag[up] if up >= 0 else 0.0
+        last_word[k] = word[k] or (last_word[up] if up >= 0 else 0.0)
         if up >= 0:
             depth[k] = depth[up] + 1
             seen[up] += 1
@@ -232,7 +275,7 @@ def features(page: Page, tag_odds: dict[str, float], word_odds: dict[str, float]
             place, brothers, alike, above = 0.0, 1, 1.0, 0.0
         out[k] = (
             tag[k], word[k], worst_tag[k], best_tag[k], worst_word[k], best_word[k], depth[k], math.log1p(chars[k]), linked[k] / total, chars[k] / tags[k],
-            math.log1p(brothers), place, alike, math.log1p(page.chars[k]), chars[k] / max(blocks[k], 1), signs[k] / total, controls[k], chars[k] / max(chars[0], 1), above, children[k],
+            math.log1p(brothers), place, alike, math.log1p(page.chars[k]), chars[k] / max(blocks[k], 1), signs[k] / total, controls[k], chars[k] / max(chars[0], 1), above, children[k], last_tag[k], last_word[k],
         )
     return out
 
@@ -240,7 +283,7 @@ def features(page: Page, tag_odds: dict[str, float], word_odds: dict[str, float]
 class Trees:
     """Boosted trees of one depth on binned features, for logistic loss."""
 
-    def __init__(self, rounds: int = 40, depth: int = 4, rate: float = 0.25, bins: int = 32, ridge: float = 1.0):
+    def __init__(self, rounds: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 32, ridge: float = 1.0):
         self.rounds, self.depth, self.rate, self.bins, self.ridge = rounds, depth, rate, bins, ridge
         self.base, self.trees = 0.0, []
 
@@ -320,7 +363,7 @@ class Model:
 
     def texts(self, sources: list[str | None]) -> list[str]:
         """The article of each page: its blocks in page order, a line each."""
-        pages = [parse(s or "") for s in sources]
+        pages = [parse(s or "", labels=False) for s in sources]
         margins = self.trees.margins(np.concatenate([features(p, self.tag_odds, self.word_odds) for p in pages]))
         out, at = [], 0
         for p in pages:
@@ -404,24 +447,42 @@ def training_page(draw: random.Random) -> str:
     title = draw.choice(["", f"<h1>{sentence(draw.randint(2, 8))}</h1>", f"<h1>{sentence(draw.randint(2, 8))}</h1>"])
     tail = [other(k) for k in ("share", "comments", "aside") if draw.random() < 0.2]
     style = draw.random()
-    if style < 0.45:
+    plain_name = lambda: draw.choice(["", f' id="{word()}{draw.randint(0, 99)}"', f' class="{word()}"', f' class="{word()} {word()}-{draw.randint(0, 9)}"'])
+    bare = style >= 0.88
+    if style >= 0.8 and draw.random() < 0.4:
+        inner, title, tail = [f"<p>{prose()}</p>"], draw.choice(["", title]), []
+    if draw.random() < 0.08:
+        tag = draw.choice(["div", "p", "section"])
+        hidden = draw.choice(["hidden", 'style="display:none"', 'style="color:red;display: none"', 'aria-hidden="true"'])
+        inner.insert(draw.randint(0, len(inner)), f'<{tag} {hidden} data-y="0">{prose()}</{tag}>')
+    if style < 0.4:
         middle = f'<article{draw.choice(["", named(ARTICLE_NAMES)])} data-y="1">{title}{"".join(inner + tail)}</article>'
-    elif style < 0.65:
+    elif style < 0.55:
         middle = f'<main data-y="1">{title}{"".join(inner + tail)}</main>'
-    elif style < 0.95:
+    elif style < 0.78:
         middle = f'<div{named(ARTICLE_NAMES)} data-y="1">{title}{"".join(inner + tail)}</div>'
+    elif not bare:
+        middle = f'<div{plain_name()} data-y="1">{title}{"".join(inner + tail)}</div>'
     else:
-        middle = "".join(re.sub(r"^<(\w+)", r'<\1 data-y="1"', p) for p in [title, *inner] if p and "data-y" not in p[:60])
-    if draw.random() < 0.4:
+        middle = "".join(p if "data-y" in p.partition(">")[0] else re.sub(r"^<(\w+)", r'<\1 data-y="1"', p) for p in [title, *inner] if p)
+    if draw.random() < 0.4 and not bare:
         middle = draw.choice(["<main>{}</main>", "<div{}>{{}}</div>".format(draw.choice(["", ' class="wrapper"', ' class="container"', ' id="wrap"'])), "<section>{}</section>"]).format(middle)
     before = [other(k) for k in ("header", "nav", "notice", "ad", "form", "nav") if draw.random() < 0.4]
     after = [other(k) for k in ("aside", "comments", "ad", "form", "notice", "footer", "share") if draw.random() < 0.35]
     draw.shuffle(before)
+    if bare and draw.random() < 0.5:
+        before, after = [], []
+    if not bare and draw.random() < 0.1:
+        # A table lays the page out: a row or cells of menus beside the article's cell.
+        cell = lambda parts: f'<td data-y="0">{item("nav") if not parts or draw.random() < 0.5 else "".join(parts)}</td>'
+        story = draw.choice([f'<td data-y="0">{middle}</td>', f'<td data-y="1">{title}{"".join(inner + tail)}</td>'])
+        row = f'<tr>{cell(before)}{story}{cell(after) if after else ""}</tr>'
+        return f'<html><body><table data-y="0">{row}</table></body></html>'
     return f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{''.join(before)}{middle}{''.join(after)}</body></html>"
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 1200, seed: int = 5) -> Model:
+def trained(pages: int = 1600, seed: int = 5) -> Model:
     """The model trained on so many generated pages, the same for the same seed."""
     draw = random.Random(seed)
     parsed = [parse(training_page(draw)) for _ in range(pages)]
@@ -434,7 +495,7 @@ def trained(pages: int = 1200, seed: int = 5) -> Model:
 
     # A name or tag tells by the nodes at which a region begins.
     begins = [[k for k in range(1, len(p.tag)) if p.words[k] or p.label[k] != p.label[p.parent[k]] or p.tag[k] not in ("p", "div", "li", "ul")] for p in parsed]
-    tag_odds = odds((p.tag[k], p.label[k]) for p, ks in zip(parsed, begins) for k in ks)
+    tag_odds = odds((p.tag[k], p.label[k]) for p, ks in zip(parsed, begins) for k in ks if p.tag[k] != "body")
     word_odds = odds((w, p.label[k]) for p, ks in zip(parsed, begins) for k in ks for w in set(p.words[k]))
     rows = np.concatenate([features(p, tag_odds, word_odds) for p in parsed])
     return Model(tag_odds, word_odds, Trees().fit(rows, np.concatenate([p.label for p in parsed]).astype(float)))
