@@ -3,8 +3,10 @@
 For each language a tree of byte contexts up to ORDER bytes long holds how
 often each byte followed. A byte costs -log2 of its probability in the longest
 context seen, or of the escape from there (method C) to the next shorter one,
-down to 1/256. Statistics are frozen after training, so the costs of every
-(context, byte) are tabulated once and a text's code length is a sum of look-ups.
+down to 1/256. All 256 bytes and all contexts of the sample count. Statistics
+are frozen after training: a language keeps the cost of each string seen and
+of each context's escape in sorted arrays, 12 bytes or so for each distinct
+string of its sample. The distinct strings of many texts are looked up once.
 """
 
 from __future__ import annotations
@@ -24,91 +26,106 @@ ORDER = 3
 FOLDS, HELD_OUT = 5, 0
 #: Documents to learn from for each language, at most.
 TRAIN_DOCS = 2_000
-#: Bytes with a symbol of their own; the others share one.
-SYMBOLS = 95
-#: Contexts of full length kept, the most frequent; the others escape at once.
-CONTEXTS = 20_000
-LEAST_CONTEXT = 3
+#: Occurrences that make a context count: one.
+LEAST_CONTEXT = 1
 UNDETERMINED = "und"
 
 PAD = b"\n" * ORDER
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
+@dataclass
+class Tree:
+    """Costs in bits after the contexts of one language."""
+
+    strings: list[np.ndarray]  # by order: context and byte, big-endian, ascending
+    costs: list[np.ndarray]  # of each string's last byte
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]  # of each context
+
+    @classmethod
+    def grow(cls, codes: np.ndarray, counts: np.ndarray) -> Tree:
+        """From the (ORDER + 1)-byte strings seen and their counts, by method C."""
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for order in range(ORDER + 1):
+            own, place = np.unique(codes.astype(np.int64) & (1 << 8 * (order + 1)) - 1, return_inverse=True)
+            seen = np.bincount(place, counts, len(own))
+            contexts, of = np.unique(own >> 8, return_inverse=True)
+            kinds, sums = np.bincount(of), np.bincount(of, seen)
+            for column, values in zip(out, (own, np.log2((sums + kinds)[of] / seen), contexts, np.log2((sums + kinds) / kinds))):
+                column.append(values.astype(np.int64 if values.dtype.kind == "i" else np.float32))
+        return cls(*out)
+
+    def cost(self, codes: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Bits of the last byte of each string of ORDER + 1 bytes."""
+        if order < 0:
+            return np.full(len(codes), 8.0, np.float32)
+        own = codes & (1 << 8 * (order + 1)) - 1
+        at, seen = _find(self.strings[order], own)
+        out = np.zeros(len(codes), np.float32)
+        out[seen] = self.costs[order][at[seen]]
+        rest = np.flatnonzero(~seen)
+        if len(rest):
+            below, known = _find(self.contexts[order], own[rest] >> 8)
+            escape = np.zeros(len(rest), np.float32)
+            escape[known] = self.escapes[order][below[known]]
+            out[rest] = escape + self.cost(codes[rest], order - 1)
+        return out
+
+
+def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each number asked for in ascending keys."""
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+_SLOTS = 1 << 20
+
+
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 32-bit codes, and the place of each code among them: as np.unique, but sorting only what meets in a slot."""
+    slots = ((codes * np.uint32(0x9E3779B1)) >> np.uint32(12)).astype(np.int64)
+    table = np.zeros(_SLOTS, np.int32)
+    table[slots] = np.arange(len(codes), dtype=np.int32)
+    rep = table[slots]
+    same = codes[rep] == codes
+    mark = np.zeros(len(codes), bool)
+    mark[rep] = True  # each is its own representative
+    place = (np.cumsum(mark) - 1)[rep]
+    rest, code = np.unique(codes[~same], return_inverse=True)
+    place[~same] = int(mark.sum()) + code
+    return np.r_[codes[mark], rest], place
+
+
 @dataclass
 class Model:
     languages: list[str]
-    symbol: np.ndarray  # byte -> symbol
-    context: np.ndarray  # three symbols -> row of the full-length table, or -1
-    cost: np.ndarray  # (two symbols, symbol) rows, then (full context, symbol) rows; a column a language
+    trees: list[Tree]
 
     @classmethod
     def fit(cls, grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         """grams: for each language the (ORDER + 1)-byte strings seen, big-endian in 32 bits, and their counts."""
         languages = sorted(grams)
-        seen = np.zeros(256)
-        for codes, counts in grams.values():
-            np.add.at(seen, codes & 0xFF, counts)
-        own = np.sort(np.argsort(-seen, kind="stable")[:SYMBOLS])
-        symbol = np.full(256, len(own), np.uint8)
-        symbol[own] = np.arange(len(own))
-        a, spread = len(own) + 1, 256 - len(own)
-
-        split = {k: ([symbol[codes >> s & 0xFF].astype(np.int64) for s in (24, 16, 8, 0)], counts.astype(float)) for k, (codes, counts) in grams.items()}
-        total = np.zeros(a**3)
-        for (s0, s1, s2, _), n in split.values():
-            np.add.at(total, (s0 * a + s1) * a + s2, n)
-        full = np.argsort(-total, kind="stable")[:CONTEXTS]
-        full = np.sort(full[total[full] >= LEAST_CONTEXT])
-        context = np.full(a**3, -1, np.int32)
-        context[full] = np.arange(len(full))
-
-        cost = np.empty((a**3 + len(full) * a, len(languages)), np.float32)
-        uniform = np.full(a, 1 / 256)
-        uniform[-1] = spread / 256
-        for k, language in enumerate(languages):
-            (s0, s1, s2, s3), n = split[language]
-
-            def table(size: int, place: np.ndarray, counts: np.ndarray, below: np.ndarray) -> np.ndarray:
-                """Method C over rows of contexts: below is what an escape leads to."""
-                found = np.bincount(place, counts, size * a).reshape(size, a)
-                sums, kinds = found.sum(1, keepdims=True), (found > 0).sum(1, keepdims=True)
-                scale = np.maximum(sums + kinds, 1)
-                return np.where(found > 0, found / scale, np.where(sums > 0, kinds / scale, 1.0) * below)
-
-            p0 = table(1, s3, n, uniform)
-            p1 = table(a, s2 * a + s3, n, p0)
-            p2 = table(a * a, (s1 * a + s2) * a + s3, n, np.tile(p1, (a, 1)))
-            rows = context[(s0 * a + s1) * a + s2].astype(np.int64)
-            kept = rows >= 0
-            p3 = table(len(full), (rows * a + s3)[kept], n[kept], p2[full % (a * a)])
-            # The shared symbol stands for any of the other bytes alike.
-            for p in (p2, p3):
-                p[:, -1] /= spread
-            cost[: a**3, k] = -np.log2(p2).ravel()
-            cost[a**3 :, k] = -np.log2(p3).ravel()
-        return cls(languages, symbol, context, cost)
+        return cls(languages, [Tree.grow(*grams[name]) for name in languages])
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text in each language."""
-        a = int(self.symbol.max()) + 1
         out = np.zeros((len(texts), len(self.languages)))
         full = [k for k, t in enumerate(texts) if t]
         if not full:
             return out
-        joined = self.symbol[np.frombuffer(b"".join(PAD + texts[k] for k in full), np.uint8)].astype(np.int32)
+        b = np.frombuffer(b"".join(PAD + texts[k] for k in full), np.uint8).astype(np.uint32)
         sizes = np.array([len(texts[k]) for k in full])
-        starts = np.r_[0, np.cumsum(sizes + ORDER)[:-1]]
-        two = (joined[1:-2] * a + joined[2:-1]) * a  # the two symbols before each from the fourth on
-        row = self.context[joined[:-3] * (a * a) + two // a]
-        last = joined[3:]
-        place = np.where(row >= 0, a**3 + row * a + last, two + last)
-        # Costs of the padding between texts fall out of the sums.
-        inside = np.ones(len(place), bool)
-        for s in starts[1:]:
+        starts = np.cumsum(sizes + ORDER) - (sizes + ORDER)
+        # Strings that end in a text's padding are no one's.
+        inside = np.ones(len(b) - ORDER, bool)
+        for s in starts[1:].tolist():
             inside[s - ORDER : s] = False
-        cost = self.cost[place[inside]]
-        out[full] = np.add.reduceat(cost, np.r_[0, np.cumsum(sizes)[:-1]], axis=0, dtype=np.float64)
+        codes, place = _distinct((b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:])[inside])
+        wide = codes.astype(np.int64)
+        begins = np.cumsum(sizes) - sizes
+        for k, tree in enumerate(self.trees):
+            out[full, k] = np.add.reduceat(tree.cost(wide)[place], begins, dtype=np.float64)
         return out
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
