@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vintage.llm import common
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that is not the smallest of its component; edges are (u, v) of longs.
 
     Each round links every node's larger neighbours to the smallest one
@@ -27,9 +27,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         return out, path, (row["n"], row["mark"])
 
     now, path, mark = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(most_rounds):
-        if not mark[0]:
-            break
+    settled = not mark[0]
+    while not settled:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -37,10 +36,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after, new_path, new_mark = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         common.drop_path(spark, path)
-        done = new_mark == mark
+        settled = new_mark == mark
         now, path, mark = after, new_path, new_mark
-        if done:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -24,6 +24,8 @@ from vintage.llm import common
 TRAIN_ROWS = 3_000
 RANK = 48
 NEIGHBOURS = 15
+#: Similarities that differ by no more are equal.
+TIE = 1e-6
 THRESHOLD = 0.7
 HELD_OUT = 2
 FOLDS = 4
@@ -97,10 +99,13 @@ class Model:
             return np.full(len(counts), 0.5)
         similar = _unit(_unit(counts * self.weights) @ self.axes) @ self.vectors.T
         k = min(self.neighbours, len(self.labels))
-        near = np.argpartition(-similar, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(similar, near, 1), 0).astype(np.float64)
+        last = np.partition(similar, len(self.labels) - k, axis=1)[:, len(self.labels) - k, None]
+        # Rows as similar as the last neighbour, copies of one text above all, share its place among the neighbours.
+        above, level = similar > last + TIE, np.abs(similar - last) <= TIE
+        part = (k - above.sum(1)) / level.sum(1)
+        weight = np.maximum(similar, 0).astype(np.float64) * (above + level * part[:, None])
         total = weight.sum(1)
-        share = (weight * self.labels[near]).sum(1) / np.maximum(total, 1e-12)
+        share = weight @ self.labels / np.maximum(total, 1e-12)
         return np.where(total > 1e-9, share.clip(0, 1), float(self.labels.mean()))
 
 
@@ -114,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(common.crc_of_id() % FOLDS != HELD_OUT).select("doc_id", "quality")
     n = known.count()
     if n > rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rows / n * (1 << 30))).limit(rows)
+        known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.bounded(batches, "text"):
@@ -150,6 +155,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROW
     """doc_id, held_out, score, predicted: one row a document.
 
     Null and empty texts have no terms and get the sample's share of label 1.
+    Rows as similar as the last of the neighbours share its place alike.
     Repeated ids keep their rows. Without labels every score is 0.5.
     """
     scored = score(docs, train(docs, labels, rows), "doc_id")

@@ -195,7 +195,7 @@ def sampled(labels: DataFrame, rows: int) -> DataFrame:
     """At most rows rows, the same each time, chosen by a hash of the id."""
     n = labels.count()
     if n > rows:
-        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rows / n * (1 << 30))).limit(rows)
+        labels = labels.orderBy(F.xxhash64("doc_id"), *labels.columns).limit(rows)
     return labels
 
 

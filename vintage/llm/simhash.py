@@ -14,6 +14,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -46,6 +48,11 @@ def _triples() -> list[tuple[int, ...]]:
 TRIPLES = _triples()
 
 
+#: Bytes of a text whose shingles are held at once.
+TEXT_BYTES = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
 def shingle_hashes(text: bytes | None) -> list[int]:
     """XXH64 of the space-joined word shingles, repeats included; fewer words: of the whole sequence; none: nothing."""
     words = text.lower().split() if text else []
@@ -59,13 +66,35 @@ def shingle_hashes(text: bytes | None) -> list[int]:
     return [digest(line[a : b - 1], SEED) for a, b in zip(starts, starts[SHINGLE:])]
 
 
+def _ones(hashes: list[int]) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _most(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(hashes: list[int]) -> int:
     """Bits set in over half the hashes, as an unsigned integer."""
-    if not hashes:
-        return 0
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little")
-    ones = bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return _most(_ones(hashes), len(hashes)) if hashes else 0
+
+
+def text_fingerprint(text: bytes | None) -> int:
+    """The fingerprint of a whole text; a long one goes in parts that share the words of a shingle, so memory is bounded."""
+    if not text or len(text) <= TEXT_BYTES:
+        return fingerprint(shingle_hashes(text))
+    ones, n, carried, at = np.zeros(8 * BYTES, np.int64), 0, [], 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + TEXT_BYTES)
+        end = blank.start() if blank else len(text)
+        words = carried + text[at:end].split()
+        if len(words) >= SHINGLE:
+            hashes = shingle_hashes(b" ".join(words))
+            ones, n = ones + _ones(hashes), n + len(hashes)
+            words = words[1 - SHINGLE :]
+        carried, at = words, end
+    return _most(ones, n) if n else fingerprint(shingle_hashes(b" ".join(carried)))
 
 
 def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
@@ -73,7 +102,7 @@ def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.bounded(batches, "text"):
-            found = np.array([fingerprint(shingle_hashes(t)) for t in common.byte_list(batch.column(0))], np.uint64).view(np.int64)
+            found = np.array([text_fingerprint(t) for t in common.byte_list(batch.column(0))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(k + 1) for k in range(len(keep))] + [pa.array(found)], [*keep, "fp"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
@@ -158,6 +187,15 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.mapInArrow(rows, "u long, v long")
 
 
+def classes(docs: DataFrame, *keep: str, block: int = BLOCK) -> DataFrame:
+    """The keep columns of docs with fp and root: rows whose fingerprints are linked, by any number of steps, share a root."""
+    marked = common.written(fingerprints(docs, *keep), "fingerprints")
+    nodes = common.written(marked.select("fp").distinct(), "nodes")
+    roots = graph.components(links(nodes, block)).withColumnRenamed("node", "fp")
+    # Fingerprints that are linked to none are their own root.
+    return marked.join(roots, "fp", "left").select(*keep, "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint, component_id: one row for each row of docs.
 

@@ -42,6 +42,9 @@ WIDTH = REACH + LENGTH
 CHUNK_BYTES = 2 << 20
 BLOCK_BYTES = 16 << 20
 
+#: Bytes of text for each task at least, where that makes more tasks than spark.sql.shuffle.partitions.
+TASK_BYTES = 64 << 20
+
 #: A difference cover: every residue is a difference of two of its members, modulo PERIOD.
 PERIOD = 13
 COVER = (0, 1, 3, 9)
@@ -157,6 +160,11 @@ def block_of(order: np.ndarray, n_blocks: int) -> np.ndarray:
     return np.array(hashed, np.int64)[code] if len(own) else np.zeros(0, np.int64)
 
 
+def bucket_of(grams: np.ndarray, n_blocks: int) -> np.ndarray:
+    """The bucket of each anchor hash, however many there are."""
+    return ((grams * _M2) >> np.uint64(8)).astype(np.int64) % n_blocks
+
+
 # Tags are whole hashes ("<i8") where ids repeat, else zeros ("u1").
 ENTRY = "V6 V6 <i8 {} <u4"  # anchor hash, context hash, order, tag, position
 FLAG = "<i8 {} <u4 u1"  # order, tag, position, state
@@ -288,7 +296,7 @@ def repeats(docs: DataFrame, *keep: str, with_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     n = common.partitions(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(n, -(-total // BLOCK_BYTES))
+    n_blocks, n = max(n, -(-total // BLOCK_BYTES)), max(n, -(-total // TASK_BYTES))
     repeated_ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
     # Rows that share an id are told apart by a hash of their text.
     tag = F.xxhash64("text") if repeated_ids else F.lit(0).cast("long")
@@ -316,7 +324,7 @@ def repeats(docs: DataFrame, *keep: str, with_text: bool = False) -> DataFrame:
             if not found:
                 continue
             grams, contexts, ids, marks, places = (np.concatenate(c) for c in zip(*found))
-            bucket = (grams >> np.uint64(48)).astype(np.int64) % n_blocks
+            bucket = bucket_of(grams, n_blocks)
             out = [(key, _columns(_six(grams[by[s]]), _six(contexts[by[s]]), ids[by[s]].astype("<i8"), marks[by[s]].astype(mark_kind), places[by[s]].astype("<u4"))) for key, s, by in _split(bucket)]
             yield _blobs(["bucket", "blob"], out)
 
@@ -349,7 +357,7 @@ def repeats(docs: DataFrame, *keep: str, with_text: bool = False) -> DataFrame:
         if found:
             grams, ids, marks, places, before, after, rows = (np.concatenate(c) for c in zip(*found))
             rows = np.ascontiguousarray(rows)
-            for key, s, o in _split((grams >> np.uint64(48)).astype(np.int64) % n_blocks):
+            for key, s, o in _split(bucket_of(grams, n_blocks)):
                 k = o[s]
                 out.append((key, _columns(grams[k], ids[k].astype("<i8"), marks[k].astype(mark_kind), places[k].astype("<u4"), before[k].astype(np.uint8), after[k].astype(np.uint8), rows[k])))
         return pa.Table.from_batches([_blobs(["bucket", "blob"], out)])
