@@ -30,12 +30,14 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    key, shared = _key(docs)
-    keyed = docs.select(*COLUMNS, key.alias("row_key"))
-    groups = simhash.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text"))
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("row_key")).distinct()
-    kept = keyed.join(first, "row_key", "left_semi")
+    """One document of each group of near copies: the one with the smallest id, null ids last; of one id the smallest hash of id and text."""
+    _, shared = _key(docs)
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row_key"))
+    groups = simhash.classes(keyed, "doc_id", "row_key")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    first = groups.groupBy("root").agg(F.min(place).alias("first")).select("first.doc_id", "first.row_key")
+    same = keyed["doc_id"].eqNullSafe(first["doc_id"]) & (keyed["row_key"] == first["row_key"])
+    kept = keyed.join(first, same, "left_semi")
     return (kept.dropDuplicates(["row_key"]) if shared else kept).select(*COLUMNS)
 
 
