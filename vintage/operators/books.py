@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARE_TOLERANCE, CASH_TOLERANCE, LEAST_TRADE = 1e-4, 0.01, 1.0
@@ -14,7 +14,9 @@ def order_diff(held: DataFrame, targets: DataFrame, prices: DataFrame, investabl
     both = held.join(targets, "symbol", "full_outer").join(prices, "symbol")
     delta = F.coalesce("weight", F.lit(0.0)) * money / F.col("price") - F.coalesce("shares", F.lit(0.0))
     moved = both.where("price > 0").withColumn("delta", delta).where(F.abs(F.col("delta") * F.col("price")) >= LEAST_TRADE)
-    return moved.select("symbol", F.when(F.col("delta") > 0, "BUY").otherwise("SELL").alias("side"), F.abs("delta").alias("shares"))
+    orders = moved.select("symbol", F.when(F.col("delta") > 0, "BUY").otherwise("SELL").alias("side"), F.abs("delta").alias("shares"))
+    # One row a symbol of a book.
+    return orders.select(F.row_number().over(Window.orderBy(F.desc("side"), "symbol")).alias("place"), "symbol", "side", "shares")
 
 
 def reconcile(believed: DataFrame, actual: DataFrame, believed_cash: float | None = None, actual_cash: float | None = None) -> DataFrame:

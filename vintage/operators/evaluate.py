@@ -139,12 +139,11 @@ def walk_windows(start: dt.date, end: dt.date, n: int = 4, holdout: float = HOLD
     return out + [("holdout", begin, end)] * (days > 0)
 
 
-def verdicts(windows: DataFrame, strategy: DataFrame, benchmark: DataFrame, curves: DataFrame, by: list[str]) -> DataFrame:
+def verdicts(windows: DataFrame, strategy: DataFrame, benchmark: DataFrame, dates: DataFrame, by: list[str]) -> DataFrame:
     """One row for each of by: a window passes with an edge in Sharpe of EDGE and no deeper drawdown; the gate with most research windows and the holdout.
 
-    windows (run, kind, window), strategy and benchmark are metrics by run, curves tells the dates of each run.
+    windows (run, kind, window), strategy and benchmark are metrics by run, dates has n_dates, of the shorter of both curves; under two fail.
     """
-    dates = curves.groupBy("run").agg(F.count("*").alias("n_dates"))
     s = strategy.select("run", F.col("sharpe").alias("s"), F.col("max_drawdown").alias("sd"))
     b = benchmark.select("run", F.col("sharpe").alias("b"), F.col("max_drawdown").alias("bd"))
     one = windows.join(s, "run", "left").join(b, "run", "left").join(dates, "run", "left")

@@ -129,13 +129,22 @@ def cef_discount(prices: DataFrame, navs: DataFrame, decisions: DataFrame, lookb
     return _opinion(decisions, features)
 
 
-def _winsorised_z(column: str) -> Column:
-    """z within as_of after clipping at nearest-rank 5 % and 95 %; under three values nothing is clipped, under two z is 0."""
+def _winsorised(values: DataFrame, *columns: str) -> DataFrame:
+    """values with columns clipped within as_of at the nearest-rank 5 % and 95 %; under three values nothing is clipped.
+
+    Each row learns its rank; the two rows at the cuts give the bounds, which
+    every row of the day reads from a window aggregate: a row holds no list.
+    """
     day = Window.partitionBy("as_of")
-    n = F.count(column).over(day)
-    ranked = F.sort_array(F.collect_list(column).over(day))
-    at = lambda q: F.get(ranked, F.bround(q * (n - 1), 0).cast("int"))
-    return F.when(n < 3, F.col(column)).otherwise(F.least(F.greatest(F.col(column), at(0.05)), at(0.95)))
+    n = F.count("*").over(day)
+    out = values
+    for c in columns:
+        place = F.row_number().over(day.orderBy(c, "symbol")) - 1
+        out = out.withColumn("_place", place).withColumn("_n", n)
+        bound = lambda q: F.max(F.when(F.col("_place") == F.bround(q * (F.col("_n") - 1), 0), F.col(c))).over(day)  # noqa: B023, E731
+        out = out.withColumn("_low", bound(0.05)).withColumn("_high", bound(0.95))
+        out = out.withColumn(c, F.when(F.col("_n") < 3, F.col(c)).otherwise(F.least(F.greatest(c, "_low"), "_high")))
+    return out.drop("_place", "_n", "_low", "_high")
 
 
 def value_quality(facts: DataFrame, bars: DataFrame, splits: DataFrame, decisions: DataFrame, max_age: int = 730) -> DataFrame:
@@ -150,10 +159,10 @@ def value_quality(facts: DataFrame, bars: DataFrame, splits: DataFrame, decision
     all_ = pit.split_factor_after(splits, all_, "shares_filed")
     all_ = all_.withColumn("ey", F.col("income") / (F.col("close") * F.col("shares") * F.col("factor"))).withColumn("roe", F.col("income") / F.col("equity"))
     kept = all_.where((F.abs("ey") <= 1.0) & (F.abs("roe") <= 3.0)).select("as_of", "symbol", "ey", "roe")
-    clipped = kept.withColumn("e", _winsorised_z("ey")).withColumn("r", _winsorised_z("roe"))
+    clipped = _winsorised(kept, "ey", "roe")
     day = Window.partitionBy("as_of")
     z = lambda c: F.when(F.stddev_samp(c).over(day) > 0, (F.col(c) - F.avg(c).over(day)) / F.stddev_samp(c).over(day)).otherwise(0.0)
-    scored = clipped.select("as_of", "symbol", (0.5 * z("e") + 0.5 * z("r")).alias("v"))
+    scored = clipped.select("as_of", "symbol", (0.5 * z("ey") + 0.5 * z("roe")).alias("v"))
     joined = decisions.select("as_of", "symbol").join(scored, ["as_of", "symbol"], "left")
     return joined.select("as_of", "symbol", F.coalesce("v", F.lit(0.0)).alias("value"), F.when(F.col("v").isNotNull(), 1.0).otherwise(0.0).alias("confidence"))
 
@@ -175,18 +184,27 @@ def random_scores(decisions: DataFrame, seed: int) -> DataFrame:
     return decisions.select("as_of", "symbol", scalars.noise(seed, F.col("as_of"), F.col("symbol")).alias("value"), F.lit(1.0).alias("confidence"))
 
 
-def oracle(bars: DataFrame, decisions: DataFrame, strength: float, horizon: int = 21, seed: int = 0) -> DataFrame:
-    """A blend of the future and noise, to measure whether the gate would notice foresight; null without a future."""
-    if not 0 <= strength <= 1:
-        raise ValueError("strength must lie in [0, 1]")
+def future_of(bars: DataFrame, decisions: DataFrame, horizon: int = 21) -> DataFrame:
+    """LOOKAHEAD, for studies of the gate only: (as_of, symbol, future) of each decision, also of symbols without a bar yet."""
     # Bars ahead of a decision: of the last bar before it the frame of the next ones; before all bars, of a mark at the start.
     first = bars.groupBy("symbol").agg(F.date_sub(F.min("date"), 1).alias("date")).select("symbol", "date", F.lit(None).cast("double").alias("adj_close"))
     ahead = pit.future_return(bars.select("symbol", "date", "adj_close").unionByName(first), horizon)
     marks = decisions.select("symbol", "as_of")
     early = marks.join(first.select("symbol", F.col("date").alias("start")), "symbol", "left").select("symbol", "as_of", F.greatest("as_of", "start").alias("at"))
-    found = pit.lookup(ahead, early, ["symbol"], "date", "at", ["future"])
-    noise = scalars.noise(seed, F.col("as_of"), F.col("symbol"))
-    return found.select("as_of", "symbol", (strength * F.col("future") + (1 - strength) * noise).alias("value"), F.when(F.col("future").isNotNull(), 1.0).otherwise(0.0).alias("confidence"))
+    return pit.lookup(ahead, early, ["symbol"], "date", "at", ["future"]).select("as_of", "symbol", "future")
+
+
+def blended(known: DataFrame, strength: Column, seed: int) -> DataFrame:
+    """known (as_of, symbol, future and others) with value, a blend of the future and noise, and confidence in place of the future; null without a future."""
+    value = strength * F.col("future") + (1 - strength) * scalars.noise(seed, F.col("as_of"), F.col("symbol"))
+    return known.withColumn("value", value).withColumn("confidence", F.when(F.col("future").isNotNull(), 1.0).otherwise(0.0)).drop("future")
+
+
+def oracle(bars: DataFrame, decisions: DataFrame, strength: float, horizon: int = 21, seed: int = 0) -> DataFrame:
+    """The blended signal, to measure whether the gate would notice foresight."""
+    if not 0 <= strength <= 1:
+        raise ValueError("strength must lie in [0, 1]")
+    return blended(future_of(bars, decisions, horizon), F.lit(float(strength)), seed)
 
 
 def trend(bench: DataFrame, lookback: int = 200) -> DataFrame:

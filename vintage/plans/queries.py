@@ -185,10 +185,18 @@ def upsert_facts(t):
     return store.upsert(t.facts, new, "facts").select("symbol", "concept", "period_end", "accn", "value", "knowable_at")
 
 
-@query(f"WITH {NEWS_SQL} SELECT DISTINCT symbol, published_at, content_hash, source FROM n", "news")
+@query(f"WITH {NEWS_SQL}, u AS (SELECT DISTINCT symbol, published_at, content_hash, CASE WHEN symbol < 'Brand#2' THEN source || ' (corrected)' ELSE source END AS source, CASE WHEN symbol < 'Brand#2' THEN knowable_at + 1 ELSE knowable_at END AS knowable_at FROM n) SELECT * FROM u", "news")
 def upsert_news(t):
     items = news_items(t).select("symbol", "published_at", "source", "headline", "body", "content_hash", "knowable_at")
-    return store.upsert(items, items.withColumn("seq", F.lit(1)), "news").select("symbol", "published_at", "content_hash", "source")
+    new = items.where("symbol < 'Brand#2'").withColumn("source", F.concat("source", F.lit(" (corrected)"))).withColumn("knowable_at", F.date_add("knowable_at", 1)).withColumn("seq", F.lit(1))
+    return store.upsert(items, new, "news").select("symbol", "published_at", "content_hash", "source", "knowable_at")
+
+
+@query("SELECT symbol, date, CASE WHEN ratio > 2 THEN ratio * 2 ELSE ratio END AS ratio, knowable_at FROM splits UNION ALL SELECT 'NEW', DATE '2001-02-03', 3.0::DOUBLE, DATE '2001-02-03'", "splits")
+def upsert_splits(t):
+    fresh = t.spark.sql("SELECT 'NEW' AS symbol, date'2001-02-03' AS date, 3D AS ratio, date'2001-02-03' AS knowable_at")
+    new = t.splits.where("ratio > 2").withColumn("ratio", F.col("ratio") * 2).unionByName(fresh)
+    return store.upsert(t.splits, new.withColumn("seq", F.lit(1)), "splits")
 
 
 @query("SELECT effective, symbol, knowable_at FROM universe UNION SELECT DATE '1995-01-01', 'Brand#11', DATE '1995-01-01'", "universe")
@@ -465,7 +473,7 @@ ACTUAL = "SELECT symbol, CAST(sum(volume) % 50 + CASE WHEN CAST(substr(symbol, 7
 
 
 @query(f"""WITH h AS ({HELD}), w AS ({WANTED.replace('0.06D', '0.06::DOUBLE')}), p AS ({PRICES}), d AS (SELECT symbol, price, coalesce(weight, 0) * 10000 / price - coalesce(shares, 0) AS delta FROM h FULL JOIN w USING (symbol) JOIN p USING (symbol) WHERE price > 0)
-SELECT symbol, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, round(abs(delta), 8) AS shares FROM d WHERE abs(delta * price) >= 1""", "bars")
+SELECT CAST(row_number() OVER (ORDER BY delta > 0, symbol) AS INT) AS place, symbol, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, round(abs(delta), 8) AS shares FROM d WHERE abs(delta * price) >= 1""", "bars")
 def order_diff(t):
     return rounded(books.order_diff(t.sql(HELD, "bars"), t.sql(WANTED, "bars"), t.sql(PRICES, "bars"), 10_000.0), "shares")
 
@@ -658,10 +666,8 @@ def power_study(t):
     """Foresight of growing strength, to see where the gate notices it."""
 
     def score(d: DataFrame) -> DataFrame:
-        future = pit.lookup(pit.future_return(t.bars, 21), d.select("as_of", "symbol").distinct(), ["symbol"], "date", "as_of", ["future"])
-        strength, noise = F.col("name").cast("double"), scalars.noise(0, F.col("as_of"), F.col("symbol"))
-        joined = d.join(future, ["as_of", "symbol"], "left")
-        return joined.select("name", "as_of", "symbol", (strength * F.col("future") + (1 - strength) * noise).alias("value"), F.when(F.col("future").isNotNull(), 1.0).otherwise(0.0).alias("confidence"))
+        ahead = signals.future_of(t.bars, d.select("as_of", "symbol").distinct(), 21)
+        return signals.blended(d.join(ahead, ["as_of", "symbol"]), F.col("name").cast("double"), 0)
 
     return seeded(t, ["0.0", "0.05", "0.1", "0.25", "0.5", "1.0"], score)
 

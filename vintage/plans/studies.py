@@ -41,7 +41,9 @@ def targets_of(runs: DataFrame, bars: DataFrame, bench: DataFrame, snapshots: Da
     if weighting == "equal":
         weights = portfolio.equal_weights(scores, top)
     else:
-        weights = portfolio.inverse_vol_weights(scores, signals.realised_vols(bars, members, vol_lookback), top)
+        # Only the chosen are priced.
+        chosen = portfolio.chosen(scores, top, ["as_of"]).select("as_of", "symbol")
+        weights = portfolio.inverse_vol_weights(scores, signals.realised_vols(bars.join(chosen.select("symbol").distinct(), "symbol", "left_semi"), chosen, vol_lookback), top)
     dates = members.select("as_of").distinct()
     if regime is not None:
         state = signals.trend(bench, regime).withColumn("k", F.lit(1))
@@ -51,7 +53,9 @@ def targets_of(runs: DataFrame, bars: DataFrame, bench: DataFrame, snapshots: Da
     kept = dates.join(weights, "as_of", "left")
     off = F.col("risk_on").eqNullSafe(F.lit(False))
     kept = kept.select("as_of", F.when(~off, F.col("symbol")).alias("symbol"), F.when(~off, F.col("weight")).alias("weight"), "risk_on").distinct()
-    return decided.join(kept, "as_of").select("run", "as_of", "symbol", "weight", "risk_on", F.col("as_of").alias("newest"))
+    # The newest bar of a date's members, for the gate's limit on stale data.
+    seen = pit.lookup(bars.withColumn("bar_date", F.col("date")), members, ["symbol"], "date", "as_of", ["bar_date"]).groupBy("as_of").agg(F.max("bar_date").alias("newest"))
+    return decided.join(kept, "as_of").join(seen, "as_of", "left").select("run", "as_of", "symbol", "weight", "risk_on", "newest")
 
 
 def equity_of(folded: DataFrame) -> DataFrame:
@@ -77,8 +81,9 @@ def benchmark_curves(bench: DataFrame, runs: DataFrame, cash: float = 10_000.0)
 
 def studied(runs: DataFrame, windows: DataFrame, folded: DataFrame, bench: DataFrame, by: list[str]) -> DataFrame:
     """Verdicts of runs (run) that are windows (run, kind, and by)."""
-    curves = equity_of(folded)
-    return evaluate.verdicts(windows, evaluate.metrics(curves, ["run"]), evaluate.metrics(benchmark_curves(bench, runs), ["run"]), curves, by)
+    curves, held = equity_of(folded), benchmark_curves(bench, runs)
+    both = curves.groupBy("run").agg(F.count("*").alias("a")).join(held.groupBy("run").agg(F.count("*").alias("b")), "run")
+    return evaluate.verdicts(windows, evaluate.metrics(curves, ["run"]), evaluate.metrics(held, ["run"]), both.select("run", F.least("a", "b").alias("n_dates")), by)
 
 
 def window_runs(spark: SparkSession, names: list[str], start: dt.date, end: dt.date, n: int = 4, holdout: float = evaluate.HOLDOUT) -> tuple[DataFrame, DataFrame]:
@@ -100,5 +105,13 @@ def seeded_targets(runs: DataFrame, windows: DataFrame, bars: DataFrame, snapsho
 
 
 def summary(verdicts: DataFrame) -> DataFrame:
-    """trials, passed, pass_rate, median_edge and best_edge of a study's verdicts."""
+    """trials, passed, pass_rate, median_edge and best_edge of a study's verdicts; an empty study has no rate."""
     return verdicts.agg(F.count("*").alias("trials"), F.count_if("gate_passed").alias("passed"), F.avg(F.col("gate_passed").cast("int")).alias("pass_rate"), F.median("holdout_edge").alias("median_edge"), F.max("holdout_edge").alias("best_edge"))
+
+
+def histogram(verdicts: DataFrame) -> DataFrame:
+    """(research_passed, trials) for every number of windows up to the most there are, zeros included."""
+    most = verdicts.agg(F.max("research_total").alias("most"))
+    buckets = most.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("most"))).alias("research_passed"))
+    counted = verdicts.groupBy("research_passed").agg(F.count("*").alias("trials"))
+    return buckets.join(counted, "research_passed", "left").select("research_passed", F.coalesce("trials", F.lit(0)).alias("trials"))
