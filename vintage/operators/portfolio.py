@@ -73,19 +73,28 @@ class RiskLimits:
     max_positions: int = 30
 
 
-def halt_reason(limits: RiskLimits = RiskLimits()) -> Column:
-    """Why trading stops, or null, from a row of state: halted, reason, reconciled, today, data_as_of, equity, previous, peak."""
+#: Why the gate stops trading, in the order in which it looks.
+HALTED, UNRECONCILED, STALE, NO_EQUITY, DAILY_LOSS, DRAWDOWN = "halted", "unreconciled", "stale", "no-equity", "daily-loss", "drawdown"
+
+
+def halt(limits: RiskLimits = RiskLimits()) -> tuple[Column, Column]:
+    """(why trading stops, or null; the figure that stops it) from a row of state: halted, reason, reconciled, today, data_as_of, equity, previous, peak."""
     stale = F.datediff("today", "data_as_of")
     change = lambda base: F.try_divide("equity", base) - 1
-    percent = lambda c: F.concat(F.format_string("%.2f", c * 100), F.lit("%"))
-    return (
-        F.when(F.col("halted"), F.coalesce("reason", F.lit("halt file present")))
-        .when(~F.col("reconciled"), "positions do not reconcile with broker")
-        .when(stale > limits.max_stale_days, F.concat(F.lit("market data is "), stale.cast("string"), F.lit(f" days old (limit {limits.max_stale_days})")))
-        .when(F.col("equity") <= 0, "equity is zero or negative")
-        .when((F.col("previous") > 0) & (change("previous") <= -limits.max_daily_loss), F.concat(F.lit("daily loss "), percent(change("previous")), F.lit(f" breached limit -{limits.max_daily_loss:.0%}")))
-        .when((F.col("peak") > 0) & (change("peak") <= -limits.max_drawdown), F.concat(F.lit("drawdown "), percent(change("peak")), F.lit(f" breached limit -{limits.max_drawdown:.0%}")))
-    )
+    lost = (F.col("previous") > 0) & (change("previous") <= -limits.max_daily_loss)
+    sunk = (F.col("peak") > 0) & (change("peak") <= -limits.max_drawdown)
+    stops = [
+        (F.col("halted"), F.coalesce("reason", F.lit(HALTED)), F.lit(None)),
+        (~F.col("reconciled"), F.lit(UNRECONCILED), F.lit(None)),
+        (stale > limits.max_stale_days, F.lit(STALE), stale),
+        (F.col("equity") <= 0, F.lit(NO_EQUITY), F.col("equity")),
+        (lost, F.lit(DAILY_LOSS), change("previous")),
+        (sunk, F.lit(DRAWDOWN), change("peak")),
+    ]
+    reason, figure = F.lit(None).cast("string"), F.lit(None).cast("double")
+    for stop, code, value in reversed(stops):
+        reason, figure = F.when(stop, code).otherwise(reason), F.when(stop, value.cast("double")).otherwise(figure)
+    return reason, figure
 
 
 def reduce_targets(targets: DataFrame, limits: RiskLimits = RiskLimits(), within: list[str] = ["as_of"]) -> DataFrame:
@@ -98,17 +107,53 @@ def reduce_targets(targets: DataFrame, limits: RiskLimits = RiskLimits(), within
     return capped.withColumn("weight", F.when(gross > limits.max_gross, F.col("capped") * limits.max_gross / gross).otherwise(F.col("capped"))).select(*within, "symbol", "weight")
 
 
-def gate(weights: dict[str, float], limits: RiskLimits, *, equity: float, peak: float, previous: float, stale_days: int, halted: bool = False, reconciled: bool = True, risk_on: bool | None = None) -> dict[str, float] | None:
-    """The whole gate for one decision inside a fold: None holds, an empty mapping sells all."""
-    if halted or not reconciled or stale_days > limits.max_stale_days or equity <= 0:
-        return None
-    if (previous > 0 and equity / previous - 1 <= -limits.max_daily_loss) or (peak > 0 and equity / peak - 1 <= -limits.max_drawdown):
-        return None
-    if risk_on is False:
-        return {}
-    kept = dict(sorted(((s, w) for s, w in weights.items() if w > 0), key=lambda x: (-x[1], x[0]))[: limits.max_positions])
-    if kept and len(kept) < limits.min_positions:
-        return None
-    capped = {s: min(w, limits.max_weight) for s, w in kept.items()}
+@dataclass(frozen=True)
+class State:
+    """What the gate looks at beside the targets."""
+
+    equity: float
+    peak: float
+    previous: float
+    stale_days: int = 0
+    halted: bool = False
+    reconciled: bool = True
+    risk_on: bool | None = None
+
+
+@dataclass(frozen=True)
+class Decision:
+    """targets: None holds what is held, an empty mapping sells all; vetoes say what was stopped or changed."""
+
+    targets: dict[str, float] | None
+    vetoes: tuple[str, ...] = ()
+
+    @property
+    def blocked(self) -> bool:
+        return self.targets is None
+
+
+def judge(weights: dict[str, float], limits: RiskLimits, state: State) -> Decision:
+    """The whole gate for one decision: it takes away, and never adds."""
+    loss = state.equity / state.previous - 1 if state.previous > 0 else 0.0
+    depth = state.equity / state.peak - 1 if state.peak > 0 else 0.0
+    stops = {HALTED: state.halted, UNRECONCILED: not state.reconciled, STALE: state.stale_days > limits.max_stale_days, NO_EQUITY: state.equity <= 0, DAILY_LOSS: loss <= -limits.max_daily_loss, DRAWDOWN: depth <= -limits.max_drawdown}
+    if stop := next((code for code, on in stops.items() if on), None):
+        return Decision(None, (stop,))
+    if state.risk_on is False:
+        return Decision({}, ("risk-off",))
+    best = sorted((-w, s) for s, w in weights.items() if w > 0)
+    vetoes = [f"too-many:{len(best)}"] * (len(best) > limits.max_positions)
+    best = best[: limits.max_positions]
+    if 0 < len(best) < limits.min_positions:
+        return Decision(None, (*vetoes, f"too-few:{len(best)}"))
+    vetoes += [f"capped:{s}" for w, s in best if -w > limits.max_weight]
+    capped = {s: min(-w, limits.max_weight) for w, s in best}
     gross = sum(capped.values())
-    return {s: w * limits.max_gross / gross for s, w in capped.items()} if gross > limits.max_gross else capped
+    if gross > limits.max_gross:
+        return Decision({s: w * limits.max_gross / gross for s, w in capped.items()}, (*vetoes, f"gross:{gross:.4f}"))
+    return Decision(capped, tuple(vetoes))
+
+
+def gate(weights: dict[str, float], limits: RiskLimits, **state) -> dict[str, float] | None:
+    """The targets that the gate leaves: None holds, an empty mapping sells all."""
+    return judge(weights, limits, State(**state)).targets

@@ -234,9 +234,9 @@ def nav_symbol(t):
     return t.raw("part").select(F.col("p_brand").alias("symbol"), nav.alias("nav"), scalars.is_nav(nav).alias("nav_is_nav"), scalars.is_nav(F.col("p_brand")).alias("symbol_is_nav")).distinct()
 
 
-@query("SELECT * FROM (VALUES ('BTCUSDT', FALSE), ('USDCUSDT', TRUE), ('BTCUPUSDT', TRUE), ('JUPUSDT', FALSE), ('ETHDOWNUSDT', TRUE), ('ADA3LUSDT', TRUE), ('SOLUSDT', FALSE), ('PUMPUSDT', FALSE), ('daiUSDT', TRUE)) v(symbol, excluded)")
+@query("SELECT * FROM (VALUES ('DOTUSDT', FALSE), ('tusdUSDT', TRUE), ('DOTUPUSDT', TRUE), ('SYRUPUSDT', FALSE), ('XRPDOWNUSDT', TRUE), ('XRP5SUSDT', TRUE), ('XRP5MUSDT', FALSE), ('UPUSDT', FALSE), ('USDPUSDT', TRUE), ('S5LUSDT', TRUE), ('LUSDT', FALSE)) v(symbol, excluded)")
 def leveraged_filter(t):
-    names = "BTCUSDT USDCUSDT BTCUPUSDT JUPUSDT ETHDOWNUSDT ADA3LUSDT SOLUSDT PUMPUSDT daiUSDT".split()
+    names = "DOTUSDT tusdUSDT DOTUPUSDT SYRUPUSDT XRPDOWNUSDT XRP5SUSDT XRP5MUSDT UPUSDT USDPUSDT S5LUSDT LUSDT".split()
     return t.spark.createDataFrame([(n,) for n in names], "symbol string").select("symbol", scalars.stable_or_leveraged(F.col("symbol")).alias("excluded"))
 
 
@@ -455,13 +455,13 @@ def risk_gate_stateless(t):
 STATES = "SELECT symbol, date, date AS today, CAST(date - INTERVAL (volume % 7) DAY AS DATE) AS data_as_of, volume % 11 = 0 AS halted, CASE WHEN volume % 22 = 0 THEN 'manual' END AS reason, volume % 13 <> 0 AS reconciled, CASE WHEN volume % 17 = 0 THEN 0 ELSE close END AS equity, open * 1.02 AS previous, high * (1 + (volume % 9) / 20) AS peak FROM bars"
 
 
-@query(f"""WITH s AS ({STATES}) SELECT symbol, date, CASE WHEN halted THEN coalesce(reason, 'halt file present') WHEN NOT reconciled THEN 'positions do not reconcile with broker' WHEN today - data_as_of > 4 THEN 'stale' WHEN equity <= 0 THEN 'equity is zero or negative'
-WHEN previous > 0 AND equity / previous - 1 <= -0.05 THEN 'daily loss' WHEN peak > 0 AND equity / peak - 1 <= -0.25 THEN 'drawdown' END AS reason FROM s""", "bars")
+@query(f"""WITH s AS ({STATES}), r AS (SELECT *, CASE WHEN halted THEN coalesce(reason, 'halted') WHEN NOT reconciled THEN 'unreconciled' WHEN today - data_as_of > 4 THEN 'stale' WHEN equity <= 0 THEN 'no-equity'
+WHEN previous > 0 AND equity / previous - 1 <= -0.05 THEN 'daily-loss' WHEN peak > 0 AND equity / peak - 1 <= -0.25 THEN 'drawdown' END AS why FROM s)
+SELECT symbol, date, why AS reason, round(CASE why WHEN 'stale' THEN today - data_as_of WHEN 'no-equity' THEN equity WHEN 'daily-loss' THEN equity / previous - 1 WHEN 'drawdown' THEN equity / peak - 1 END, 8) + 0.0 AS figure FROM r""", "bars")
 def risk_gate_halts(t):
     states = t.sql(STATES.replace("INTERVAL (volume % 7) DAY", "make_dt_interval(int(volume % 7))"), "bars")
-    reason = portfolio.halt_reason()
-    short = F.when(reason.startswith("market data"), "stale").when(reason.startswith("daily loss"), "daily loss").when(reason.startswith("drawdown"), "drawdown").otherwise(reason)
-    return states.select("symbol", "date", short.alias("reason"))
+    reason, figure = portfolio.halt()
+    return rounded(states.select("symbol", "date", reason.alias("reason"), figure.alias("figure")), "figure")
 
 
 # --- books ------------------------------------------------------------------------------------------
