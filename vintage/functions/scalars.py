@@ -52,6 +52,11 @@ def is_nav(symbol: Column) -> Column:
     return (F.length(symbol) >= 3) & symbol.startswith("X") & symbol.endswith("X")
 
 
+def with_navs(funds: Column) -> Column:
+    """The fund symbols of an array with those of their net asset values, sorted."""
+    return F.array_sort(F.array_distinct(F.concat(funds, F.transform(funds, nav_symbol))))
+
+
 def stable_or_leveraged(symbol: Column) -> Column:
     base = F.upper(F.regexp_replace(symbol, "USDT$", ""))
     up_down = (base.endswith("UP") | base.endswith("DOWN")) & ~base.isin(REAL_UP_DOWN)

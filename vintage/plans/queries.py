@@ -737,3 +737,84 @@ def journal_state(t):
 @query("SELECT 'U' || user_id AS symbol, CAST(ts AS DATE) AS date, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*) AS volume FROM events GROUP BY ALL")
 def daily_bars_from_ticks(t):
     return ticks.daily_bars(t.raw("events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"), "ts", "value"))
+
+
+@query("SELECT * FROM (VALUES ('ABC', 320193::BIGINT), ('DE-F', 51)) v(symbol, cik)")
+def parse_ticker_map(t):
+    body = '{"0":{"ticker":" abc ","cik_str":320193},"1":{"ticker":"De-f","cik_str":"51"},"2":{"ticker":"GHI","cik_str":null},"3":{"ticker":"JKL","cik_str":"x1"}}'
+    return parsers.ticker_map(payloads(t, [(body,)], "payload string"))
+
+
+ACCOUNT_JSON = '{"cash": 250.5, "positions": {"ABC": 3, "DEF": {"shares": 2.5, "average_cost": 9}, "GHI": "none", "JKL": {"cost": 1}}}'
+
+
+@query("SELECT * FROM (VALUES ('ABC', 3.0::DOUBLE, 250.5::DOUBLE), ('DEF', 2.5, 250.5)) v(symbol, shares, cash)")
+def parse_account_json(t):
+    one = payloads(t, [(ACCOUNT_JSON,)], "payload string")
+    # One row.
+    return parsers.account(one).crossJoin(F.broadcast(parsers.account_cash(one)))
+
+
+@query("SELECT * FROM (VALUES ('AAA', 10.0::DOUBLE, 'REGULAR'), ('BBB', NULL, 'CLOSED'), ('CCC', NULL, 'UNKNOWN'), ('DDD', NULL, 'UNKNOWN')) v(symbol, price, state)")
+def parse_intraday_json(t):
+    meta = lambda text: f'{{"chart":{{"result":[{{"meta":{text}}}]}}}}'
+    rows = [("AAA", meta('{"regularMarketPrice":10,"marketState":"REGULAR"}')), ("BBB", meta('{"regularMarketPrice":-1,"marketState":"CLOSED"}')), ("CCC", "junk"), ("DDD", None)]
+    return parsers.intraday(payloads(t, rows, "symbol string, payload string"))
+
+
+@query("SELECT * FROM (VALUES ('DOTUSDT'), ('XLMUSDT')) v(symbol)")
+def tradable_pairs(t):
+    pair = lambda name, quote="USDT", status="TRADING", spot="true": f'{{"symbol":"{name}","quoteAsset":"{quote}","status":"{status}","isSpotTradingAllowed":{spot}}}'
+    listed = [pair("XLMUSDT"), pair("DOTUSDT"), pair("DOTBTC", "BTC"), pair("OLDUSDT", status="BREAK"), pair("MARUSDT", spot="false"), pair("USDCUSDT"), pair("DOTUPUSDT")]
+    return parsers.tradable_pairs(payloads(t, [('{"symbols":[' + ",".join(listed) + "]}",), ("",)], "payload string"))
+
+
+@query("SELECT DISTINCT p_brand AS symbol FROM part UNION SELECT DISTINCT 'X' || upper(p_brand) || 'X' FROM part")
+def funds_with_navs(t):
+    funds = t.raw("part").agg(F.collect_set("p_brand").alias("funds"))  # a brand a fund
+    return funds.select(F.explode(scalars.with_navs(F.col("funds"))).alias("symbol"))
+
+
+POLLS = "SELECT CAST(event_id AS BIGINT) AS place, event_type AS state FROM events"
+
+
+@query(f"SELECT state FROM (SELECT state, count(*) AS n, min(place) AS seen FROM ({POLLS}) GROUP BY state) ORDER BY n DESC, seen LIMIT 1")
+def modal_market_state(t):
+    return books.modal_state(t.raw("events").select(F.col("event_id").cast("long").alias("place"), F.col("event_type").alias("state")))
+
+
+@query(f"WITH {JUDGED_SQL}, c AS (SELECT DISTINCT content_hash FROM n WHERE symbol < 'Brand#2') SELECT content_hash, 9.0::DOUBLE AS direction, 1.0::DOUBLE AS confidence FROM c UNION ALL SELECT DISTINCT content_hash, CASE WHEN up + down > 0 THEN (up - down) / (up + down) ELSE 0 END::DOUBLE, CASE WHEN up + down > 0 THEN 0.5 ELSE 0 END::DOUBLE FROM h WHERE content_hash NOT IN (SELECT content_hash FROM c)", "news")
+def classify_unseen(t):
+    items = news_items(t)
+    cache = items.where("symbol < 'Brand#2'").select("content_hash", F.lit(9.0).alias("direction"), F.lit(1.0).alias("confidence")).distinct()
+    return store.classify(items, cache)
+
+
+@query(f"WITH r AS (SELECT * FROM ({BAR_RETURNS}) WHERE r IS NOT NULL), p AS (SELECT a.symbol AS x, b.symbol AS y, corr(a.r, b.r) AS c, count(*) AS n FROM r a JOIN r b ON a.date = b.date AND a.symbol < b.symbol GROUP BY ALL) SELECT round(avg(c), 6) + 0.0 AS mean_correlation, count(*) AS n_pairs FROM p", "bars")
+def mean_pairwise_correlation(t):
+    return rounded(evaluate.mean_correlation(bar_returns(t)), "mean_correlation", places=6)
+
+
+@query(f"""WITH h AS ({HELD}), a AS ({ACTUAL}), j AS (SELECT symbol, h.shares AS e, a.shares AS a FROM h FULL JOIN a USING (symbol))
+SELECT symbol, CASE WHEN e IS NULL THEN 'unexpected' WHEN a IS NULL THEN 'missing' ELSE 'shares' END || ' ' || symbol || ': expected ' || printf('%.4f', coalesce(e, 0)::DOUBLE) || ', broker has ' || printf('%.4f', coalesce(a, 0)::DOUBLE) AS line FROM j WHERE e IS NULL OR a IS NULL OR abs(e - a) > 1e-4""", "bars")
+def describe_breaks(t):
+    return books.reconcile(t.sql(HELD, "bars"), t.sql(ACTUAL, "bars")).select("symbol", books.describe().alias("line"))
+
+
+@query(f"SELECT symbol, date, round(close * CASE WHEN volume % 2 = 0 THEN 1.00025::DOUBLE ELSE 0.99975::DOUBLE END, 8) AS fill FROM bars", "bars")
+def spread_fill(t):
+    return rounded(t.bars.select("symbol", "date", scalars.fill_price(F.col("close"), F.col("volume") % 2 == 0, 5.0).alias("fill")), "fill")
+
+
+def _with_plan(name: str, f) -> None:
+    QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+
+
+_with_plan("placebo_summary", lambda t: studies.summary(placebo_study(t)))
+_with_plan("placebo_histogram", lambda t: studies.histogram(placebo_study(t)))
+
+
+@query()
+def correlation_probe(t):
+    """DG1: mean pairwise correlation and diversification of what momentum picks at its last decisions, beside what noise picks."""
+    return studies.correlation_probe(t.bars, decisions(t, 63), {"momentum": lambda d: signals.momentum(t.bars, d), "random": lambda d: signals.random_scores(d, 1)})

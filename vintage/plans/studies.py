@@ -115,3 +115,28 @@ def histogram(verdicts: DataFrame) -> DataFrame:
     buckets = most.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("most"))).alias("research_passed"))
     counted = verdicts.groupBy("research_passed").agg(F.count("*").alias("trials"))
     return buckets.join(counted, "research_passed", "left").select("research_passed", F.coalesce("trials", F.lit(0)).alias("trials"))
+
+
+def correlation_probe(bars: DataFrame, decided: DataFrame, scorers: Signals, *, top: int = 10, lookback: int = 63) -> DataFrame:
+    """(signal, as_of, n_pairs, mean_correlation, diversification_ratio) of the names each signal picks, over the lookback bars before each decision.
+
+    A decision's names are at most top, so its pairs are at most top * (top - 1) / 2.
+    """
+    picks = None
+    for name, scorer in scorers.items():
+        own = portfolio.equal_weights(scorer(decided), top).withColumn("signal", F.lit(name))
+        picks = own if picks is None else picks.unionByName(own)
+    w = Window.partitionBy("symbol").orderBy("date")
+    placed = bars.select("symbol", "date", (F.col("adj_close") / F.lag("adj_close").over(w) - 1).alias("r"), F.row_number().over(w).alias("n"))
+    at = pit.lookup(placed, picks.select("symbol", "as_of").distinct(), ["symbol"], "date", "as_of", ["n"]).withColumnRenamed("n", "last")
+    spans = picks.join(at, ["symbol", "as_of"]).where(F.col("last") > lookback)
+    rows = spans.join(placed, "symbol").where((F.col("n") <= F.col("last")) & (F.col("n") > F.col("last") - lookback) & F.col("r").isNotNull())
+    by = ["signal", "as_of"]
+    a = rows.select(*by, "date", F.col("symbol").alias("left"), F.col("r").alias("x"))
+    b = rows.select(*by, "date", F.col("symbol").alias("right"), F.col("r").alias("y"))
+    pairs = a.join(b, [*by, "date"]).where(F.col("left") < F.col("right")).groupBy(*by, "left", "right").agg(evaluate.guarded_correlation("x", "y").alias("c"))
+    correlation = pairs.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.avg("c").alias("mean_correlation"))
+    vols = rows.groupBy(*by, "symbol").agg(F.stddev_samp("r").alias("vol"), F.first("weight").alias("weight")).groupBy(*by).agg(F.sum(F.col("weight") * F.col("vol")).alias("own"))
+    book = rows.groupBy(*by, "date").agg(F.sum(F.col("weight") * F.col("r")).alias("m")).groupBy(*by).agg(F.stddev_samp("m").alias("pv"))
+    ratio = F.when(F.col("pv") > 0, F.col("own") / F.col("pv"))
+    return correlation.join(vols, by).join(book, by).select(*by, "n_pairs", "mean_correlation", ratio.alias("diversification_ratio"))

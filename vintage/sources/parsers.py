@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vintage.functions import scalars
+
 CHART = "chart struct<result: array<struct<timestamp: array<bigint>, indicators: struct<quote: array<struct<open: array<double>, high: array<double>, low: array<double>, close: array<double>, volume: array<bigint>>>, adjclose: array<struct<adjclose: array<double>>>>>>>"
 SPLITS = "chart struct<result: array<struct<events: struct<splits: map<string, struct<date: bigint, numerator: double, denominator: double>>>>>>"
 CONCEPT = "units map<string, array<struct<start: string, end: string, val: double, accn: string, filed: string, form: string>>>"
@@ -81,6 +83,25 @@ def quotes(payloads: DataFrame) -> DataFrame:
     return out.where(F.greatest("last", "bid", "ask") > 0)
 
 
+def intraday(payloads: DataFrame) -> DataFrame:
+    """(symbol, payload) to price and market state, a row for each payload: a malformed one has no price and the state UNKNOWN."""
+    meta = F.get(F.from_json("payload", QUOTE)["chart"]["result"], F.lit(0))["meta"]
+    price = F.when(meta["regularMarketPrice"] > 0, F.nanvl(meta["regularMarketPrice"], F.lit(None).cast("double")))
+    return payloads.select("symbol", price.alias("price"), F.coalesce(meta["marketState"], F.lit("UNKNOWN")).alias("state"))
+
+
+def tradable_pairs(payloads: DataFrame) -> DataFrame:
+    """(symbol) of an exchange's listing: spot pairs in USDT that trade, without stable coins and leveraged tokens."""
+    listed = payloads.select(F.explode(F.from_json("payload", "symbols array<struct<symbol: string, quoteAsset: string, status: string, isSpotTradingAllowed: boolean>>")["symbols"]).alias("p"))
+    open_ = (F.col("p.quoteAsset") == "USDT") & (F.col("p.status") == "TRADING") & F.col("p.isSpotTradingAllowed")
+    return listed.where(open_ & ~scalars.stable_or_leveraged(F.col("p.symbol"))).select("p.symbol").distinct()
+
+
+def account_cash(payloads: DataFrame) -> DataFrame:
+    """The cash of each account payload; 0 where it isn't a number."""
+    return payloads.select(F.coalesce(F.expr("try_cast(get_json_object(payload, '$.cash') AS double)"), F.lit(0.0)).alias("cash"))
+
+
 def account(payloads: DataFrame) -> DataFrame:
     """payload {cash, positions: {symbol: shares or {shares}}} to (symbol, shares); what isn't a number is left out."""
     each = payloads.select(F.explode(F.from_json("payload", "positions map<string, string>")["positions"]).alias("symbol", "v"))
