@@ -104,6 +104,22 @@ def candles(bars: DataFrame, decisions: DataFrame, lookback: int = 3) -> DataFra
     return _opinion(decisions, voted.select("symbol", "date", F.when(whole, F.sum("votes").over(_series(lookback)) / lookback).alias("value")))
 
 
+def price_features(bars: DataFrame, decisions: DataFrame) -> dict[str, DataFrame]:
+    """momentum, reversal and candles with their usual spans, from one pass over the bars and one look-up."""
+    w, voted = _series(), patterns(bars).withColumn("votes", votes())
+    start, recent = F.lag("adj_close", 251).over(w), F.lag("adj_close", 4).over(w)
+    whole = F.count("*").over(_series(4)) == 4
+    values = {
+        "momentum": F.when(start > 0, F.lag("adj_close", 21).over(w) / start - 1),
+        "reversal": F.when(recent > 0, -(F.col("adj_close") / recent - 1)),
+        "candles": F.when(whole, F.sum("votes").over(_series(3)) / 3),
+    }
+    held = F.struct(*(v.cast("double").alias(k) for k, v in values.items()))
+    found = pit.lookup(voted.select("symbol", "date", held.alias("opinions")), decisions.select("symbol", "as_of"), ["symbol"], "date", "as_of", ["opinions"])
+    of = lambda k: F.col(f"opinions.{k}")
+    return {k: found.select("as_of", "symbol", F.coalesce(of(k), F.lit(0.0)).alias("value"), F.when(of(k).isNotNull(), 1.0).otherwise(0.0).alias("confidence")) for k in values}
+
+
 def cef_discount(prices: DataFrame, navs: DataFrame, decisions: DataFrame, lookback: int = 252) -> DataFrame:
     """How far a fund's discount to its net asset value lies below its mean, in deviations.
 

@@ -388,9 +388,11 @@ def realised_vol(t):
 # --- ranks, weights, risk ---------------------------------------------------------------------------
 
 
-def price_signals(t):
-    d = decisions(t)
-    return {"momentum": scored(signals.momentum(t.bars, d)), "reversal": scored(signals.reversal(t.bars, d)), "candles": scored(signals.candles(t.bars, d))}
+def price_signals(t, *names: str):
+    """Scores of the named price signals, or of all three from one look-up."""
+    d, of = decisions(t), {"momentum": signals.momentum, "reversal": signals.reversal, "candles": signals.candles}
+    found = {k: of[k](t.bars, d) for k in names} if names else signals.price_features(t.bars, d)
+    return {k: scored(df) for k, df in found.items()}
 
 
 def scores_sql(name: str, feature: str) -> str:
@@ -409,7 +411,7 @@ SELECT s.as_of, s.symbol, round(coalesce(a.v, 0), 8) + 0.0 AS value, CASE WHEN a
 
 @query(f"WITH {SCORES_SQL} SELECT as_of, symbol, round(coalesce({MID}, 0.5), 8) AS midrank FROM sc WHERE confidence > 0", "bars", "universe")
 def midrank(t):
-    return rounded(portfolio.midrank(price_signals(t)["candles"], ["as_of"]).select("as_of", "symbol", "midrank"), "midrank")
+    return rounded(portfolio.midrank(price_signals(t, "candles")["candles"], ["as_of"]).select("as_of", "symbol", "midrank"), "midrank")
 
 
 @query(average_sql(1, 1, 1), "bars", "universe")
@@ -424,7 +426,7 @@ def rank_average_weighted(t):
 
 @query(signal_sql(MOMENTUM_SQL), "bars", "universe")
 def combine_single_passthrough(t):
-    return scored(portfolio.combine({"momentum": price_signals(t)["momentum"]}))
+    return scored(portfolio.combine({"momentum": price_signals(t, "momentum")["momentum"]}))
 
 
 TOP_SQL = "SELECT as_of, symbol, value FROM sm WHERE confidence > 0 AND value > 0 QUALIFY row_number() OVER (PARTITION BY as_of ORDER BY value DESC, symbol) <= 10"
@@ -433,14 +435,14 @@ EQUAL_SQL = f"WITH {scores_sql('sm', MOMENTUM_SQL)}, top AS ({TOP_SQL})"
 
 @query(f"{EQUAL_SQL} SELECT as_of, symbol, round(1.0::DOUBLE / count(*) OVER (PARTITION BY as_of), 8) AS weight FROM top", "bars", "universe")
 def topn_equal_weight(t):
-    return rounded(portfolio.equal_weights(price_signals(t)["momentum"], 10), "weight")
+    return rounded(portfolio.equal_weights(price_signals(t, "momentum")["momentum"], 10), "weight")
 
 
 @query(f"""{EQUAL_SQL}, {VOL_SQL}, k AS (SELECT t.as_of, t.symbol, v.vol FROM top t ASOF LEFT JOIN vol v ON t.symbol = v.symbol AND t.as_of >= v.date),
 i AS (SELECT as_of, symbol, 1 / coalesce(CASE WHEN vol > 0 THEN vol END, median(CASE WHEN vol > 0 THEN vol END) OVER (PARTITION BY as_of), 1) AS x FROM k)
 SELECT as_of, symbol, round(x / sum(x) OVER (PARTITION BY as_of), 8) AS weight FROM i""", "bars", "universe")
 def topn_inverse_vol(t):
-    return rounded(portfolio.inverse_vol_weights(price_signals(t)["momentum"], signals.realised_vols(t.bars, decisions(t)), 10), "weight")
+    return rounded(portfolio.inverse_vol_weights(price_signals(t, "momentum")["momentum"], signals.realised_vols(t.bars, decisions(t)), 10), "weight")
 
 
 RAW_TARGETS = "SELECT effective AS as_of, symbol, CAST(CAST(substr(symbol, 7) AS INT) % 5 - 1 AS DOUBLE) / 8 AS weight FROM universe"

@@ -70,7 +70,7 @@ from (select distinct symbol, cast(substr(symbol,7) as int) as k from bars) s wh
 select concat('Brand#',cast(doc_id%25+1 as string)) as symbol,
   timestamp '1998-01-01 00:00:00' + doc_id*interval '7' hour as published_at, source,
   concat(substr(text,1,60),' ',case doc_id%6 when 0 then 'beats and raises' when 1 then 'lawsuit' when 2 then 'record growth'
-    when 3 then 'misses and cut' when 4 then 'upgrade despite loss' else 'neutral' end) as headline, '' as body
+    when 3 then 'misses and cut' when 4 then 'upgrade despite loss' else 'neutral' end) as headline, coalesce(text, '') as body
 from documents
 """,
     "nav": """

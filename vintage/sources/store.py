@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +80,60 @@ def journal_state(journal: DataFrame) -> DataFrame:
         F.min_by("equity", F.struct("as_of", "seq")).alias("e0"), F.max_by("equity", F.struct("as_of", "seq")).alias("e1"), F.count_if(F.size("vetoes") > 0).alias("halted_days"),
     )
     return found.select("records", "last_as_of", "last_equity", F.when((F.col("records") >= 2) & (F.col("e0") > 0), F.try_divide("e1", "e0") - 1).otherwise(0.0).alias("total_return"), "halted_days")
+
+
+SCHEMAS = {
+    "bars": "symbol string, date date, open double, high double, low double, close double, adj_close double, volume long, knowable_at date",
+    "universe": "effective date, symbol string, knowable_at date",
+    "facts": "symbol string, concept string, period_end date, value double, knowable_at date, accn string",
+    "splits": "symbol string, date date, ratio double, knowable_at date",
+    "news": "symbol string, published_at timestamp, source string, headline string, body string, content_hash string, knowable_at date",
+}
+
+
+class Store:
+    """The keyed tables below a folder that driver and executors share; opening it is enough to have them, empty at first.
+
+    An upsert writes a table anew and then points to it, so a reader sees
+    either version and a job that dies leaves the old one.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self._kept = spark, folder.rstrip("/"), None
+        os.makedirs(self.folder, exist_ok=True)
+
+    def _pointer(self, name: str) -> str:
+        return f"{self.folder}/{name}.json"
+
+    def table(self, name: str) -> DataFrame:
+        if not os.path.exists(self._pointer(name)):
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        with open(self._pointer(name)) as f:
+            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{json.load(f)['version']}")
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        version = f"{name}-{uuid.uuid4().hex}"
+        rows.select(*(c.split(" ")[0] for c in SCHEMAS[name].split(", "))).write.parquet(f"{self.folder}/{version}")
+        with open(self._pointer(name) + ".new", "w") as f:
+            json.dump({"version": version}, f)
+        os.replace(self._pointer(name) + ".new", self._pointer(name))
+
+    def upsert(self, name: str, new: DataFrame) -> None:
+        """Put rows in by key; with seq, their order, the last of a key wins."""
+        if "seq" not in new.columns:
+            new = new.withColumn("seq", F.lit(0))
+        self.replace(name, upsert(self.table(name), new, name))
+
+    def preload(self, start, end, symbols: list[str] | None = None) -> DataFrame:
+        """The bars of a span, of all symbols or of those named (none for an empty list), kept in the executors' memory."""
+        self.drop_cache()
+        found = self.table("bars").where(F.col("date").between(F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date")))
+        if symbols is not None:
+            found = found.where(F.col("symbol").isin(symbols)) if symbols else found.limit(0)
+        self._kept = found.persist()
+        return self._kept
+
+    def drop_cache(self) -> None:
+        if self._kept is not None:
+            self._kept.unpersist()
+            self._kept = None
