@@ -53,47 +53,47 @@ def test_gate_never_adds():
     assert portfolio.gate({"A": 0.1}, portfolio.RiskLimits(), equity=1, peak=1, previous=1, stale_days=0, risk_on=False) == {}
 
 
-def plain_fold(dates, bars, decided, cash, spread, stale_days):
-    """The same rules written out day by day."""
-    held, trades, curve, pending = {}, [], [], None
+def plain_fold(dates, bars, decided, cash, spread, stale_days, buffer=0.0, gate=None):
+    """A book as a list of trades: cash and holdings are summed from it anew whenever they are asked for."""
+    tape, curve, orders = [], [], None  # (symbol, signed size, price, cost)
+    money = lambda: cash - sum(size * price + cost for _, size, price, cost in tape)
+
+    def held(symbol):
+        total = 0.0
+        for s, size, _, _ in tape:
+            total = total + size if s == symbol else total
+            total = 0.0 if s == symbol and abs(total) < 1e-9 else total
+        return total
+
+    def seen(symbol, today):
+        return max((b for b in bars[symbol] if b[0] <= today), default=None)
+
     for today in dates:
-        last = {}
-        for s, own in bars.items():
-            for day, o, c in own:
-                if day <= today:
-                    last[s] = (day, o, c)
-        for s in sorted(held):
-            if s in last and last[s][0] != today and (today - last[s][0]).days >= stale_days:
-                n = held.pop(s)
-                cost = simulate.fee(n, last[s][2])
-                cash += n * last[s][2] - cost
-                trades.append((s, "SELL", n))
-        if pending is not None:
-            opens = {s: b[1] for s, b in last.items() if b[0] == today}
-            money = cash + sum(n * opens.get(s, 0.0) for s, n in held.items())
-            for s in sorted(set(held) | set(pending)):
-                if opens.get(s, 0) <= 0:
-                    continue
-                move = pending.get(s, 0.0) * money / opens[s] - held.get(s, 0.0)
-                if abs(move * opens[s]) < 1:
+        for s in sorted(bars):
+            last, own = seen(s, today), held(s)
+            if own and last and last[0] + dt.timedelta(days=stale_days) <= today:
+                tape.append((s, -own, last[2], simulate.fee(own, last[2])))
+        if orders is not None:
+            trading = {s: seen(s, today)[1] for s in bars if seen(s, today) and seen(s, today)[0] == today}
+            total = (money() + sum(held(s) * o for s, o in trading.items())) * (1 - buffer)
+            goals = [(s, orders.get(s, 0.0) * total / o - held(s), o) for s, o in sorted(trading.items())]
+            for s, move, o in goals:
+                if abs(move) * o < 1:
                     continue
-                price = opens[s] * (1 + spread / 20000 if move > 0 else 1 - spread / 20000)
-                cost = simulate.fee(abs(move), price)
-                if move > 0 and move * price + cost > cash:
-                    move = max(0.0, (cash - cost) / price)
+                price = o + o * spread / 20000 * (1 if move > 0 else -1)
+                if move > 0 and money() < move * price + simulate.fee(move, price):
+                    move = (money() - simulate.fee(move, price)) / price
                     if move * price < 1:
                         continue
-                    cost = simulate.fee(move, price)
-                cash -= move * price + cost
-                held[s] = held.get(s, 0.0) + move
-                if abs(held[s]) < 1e-9:
-                    del held[s]
-                trades.append((s, "BUY" if move > 0 else "SELL", abs(move)))
-            pending = None
-        curve.append(cash + sum(n * last[s][2] for s, n in held.items() if s in last))
+                tape.append((s, move, price, simulate.fee(abs(move), price)))
+            orders = None
+        curve.append(money() + sum(held(s) * seen(s, today)[2] for s in bars if held(s) and seen(s, today)))
         if today in decided:
-            pending = decided[today]
-    return curve, trades
+            orders = decided[today]
+            if gate:
+                newest = max(seen(s, today)[0] for s in bars if seen(s, today))
+                orders = gate(orders, curve, max(cash, *curve), (today - newest).days)
+    return curve, [(s, "BUY" if size > 0 else "SELL", abs(size)) for s, size, _, _ in tape]
 
 
 def test_fold_equals_a_plain_one(spark):

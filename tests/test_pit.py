@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 from vintage.operators import pit
 
 
+FIRST = dt.date(2019, 11, 4)
+# Days from the first on which each symbol has a bar: now and then, in two spells, at ever longer intervals.
+TRADED = {"ORE": [d for d in range(50) if d % 5 not in (1, 2)], "TIN": [*range(4, 15), *range(33, 50)], "ZNC": [k * k for k in range(7)]}
+
+
 def bars(spark):
-    start = dt.date(2026, 1, 1)
     rows = []
-    for symbol, days in (("AAA", range(40)), ("BBB", (d for d in range(40) if d % 3)), ("CCC", range(21))):
+    for k, (symbol, days) in enumerate(TRADED.items()):
         for d in days:
-            day = start + dt.timedelta(days=d)
-            rows.append((symbol, day, 100.0 + d, 110.0 + d, 90.0 + d, 105.0 + d, 105.0 + d, 10_000 + d, day))
+            close, day = 30.0 * (k + 1) + (d * 7) % 11, FIRST + dt.timedelta(days=d)
+            rows.append((symbol, day, close - 1, close + 2, close - 3, close, close / 2, 500 + d, day))
     return spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, adj_close double, volume long, knowable_at date")
 
 
@@ -23,8 +27,8 @@ def leaks(frame):
 
 def test_no_read_sees_the_future_and_batch_equals_scalar(spark):
     b = bars(spark)
-    days = [dt.date(2026, 1, 1) + dt.timedelta(days=k) for k in range(-1, 45, 4)]
-    marks = spark.createDataFrame([(s, d) for s in ("AAA", "BBB", "CCC", "MISSING") for d in days], "symbol string, as_of date")
+    days = [FIRST + dt.timedelta(days=k) for k in range(-2, 55, 3)]
+    marks = spark.createDataFrame([(s, d) for s in (*TRADED, "NONE") for d in days], "symbol string, as_of date")
     found = pit.lookup(b.withColumn("bar_date", F.col("date")), marks, ["symbol"], "date", "as_of", ["bar_date", "close"])
     assert leaks(found) == 0
     batch = {(r["symbol"], r["as_of"]): r["close"] for r in found.collect() if r["close"] is not None}
@@ -34,17 +38,17 @@ def test_no_read_sees_the_future_and_batch_equals_scalar(spark):
 
 def test_a_planted_leak_is_noticed(spark):
     b = bars(spark).withColumn("bar_date", F.col("date")).withColumn("date", F.date_sub("date", 1))
-    marks = spark.createDataFrame([("AAA", dt.date(2026, 1, 10))], "symbol string, as_of date")
+    marks = spark.createDataFrame([("TIN", FIRST + dt.timedelta(days=8))], "symbol string, as_of date")
     assert leaks(pit.lookup(b, marks, ["symbol"], "date", "as_of", ["bar_date"])) == 1
 
 
 def test_last_n_are_the_naive_ones(spark):
     b = bars(spark)
     all_ = [r.asDict() for r in b.collect()]
-    for day in ("2026-01-05", "2026-01-20", "2026-03-01"):
-        for n in (1, 7, 100):
+    for day in (str(FIRST + dt.timedelta(days=d)) for d in (0, 13, 21, 40, 90)):
+        for n in (2, 5, 40):
             known = sorted((r for r in all_ if str(r["knowable_at"]) <= day), key=lambda r: r["date"])
-            naive = {(s, r["date"]) for s in ("AAA", "BBB", "CCC") for r in [x for x in known if x["symbol"] == s][-n:]}
+            naive = {(s, r["date"]) for s in TRADED for r in [x for x in known if x["symbol"] == s][-n:]}
             assert {(r["symbol"], r["date"]) for r in pit.last_n_bars(b, day, n).collect()} == naive
 
 
@@ -60,6 +64,7 @@ def test_a_restatement_counts_from_its_filing(spark):
 
 def test_split_factor(spark):
     d = dt.date
-    splits = spark.createDataFrame([("NV", d(2021, 7, 20), 4.0), ("NV", d(2024, 6, 10), 10.0), ("NV", d(2025, 1, 1), 0.0)], "symbol string, date date, ratio double")
-    asked = spark.createDataFrame([("NV", d(2021, 1, 1)), ("NV", d(2021, 7, 20)), ("NV", d(2024, 6, 10)), ("XX", d(2020, 1, 1))], "symbol string, after date")
-    assert {(r["symbol"], r["after"]): r["factor"] for r in pit.split_factor_after(splits, asked, "after").collect()} == {("NV", d(2021, 1, 1)): 40.0, ("NV", d(2021, 7, 20)): 10.0, ("NV", d(2024, 6, 10)): 1.0, ("XX", d(2020, 1, 1)): 1.0}
+    splits = spark.createDataFrame([("PLT", d(2016, 3, 7), 3.0), ("PLT", d(2018, 9, 3), 0.5), ("PLT", d(2020, 2, 3), -2.0), ("PLT", d(2021, 5, 4), 5.0)], "symbol string, date date, ratio double")
+    wanted = {("PLT", d(2015, 1, 1)): 7.5, ("PLT", d(2016, 3, 6)): 7.5, ("PLT", d(2016, 3, 7)): 2.5, ("PLT", d(2018, 9, 4)): 5.0, ("PLT", d(2021, 5, 4)): 1.0, ("LED", d(2015, 1, 1)): 1.0}
+    asked = spark.createDataFrame(list(wanted), "symbol string, after date")
+    assert {(r["symbol"], r["after"]): r["factor"] for r in pit.split_factor_after(splits, asked, "after").collect()} == wanted
