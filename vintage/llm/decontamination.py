@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from vintage.llm import common
 
 WINDOW = 10
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 #: Bytes of test text searched at once.
 BLOCK_BYTES = 4 << 20
 #: Positions of rarest words looked at together.
-CANDIDATES = 1 << 20
+CANDIDATES = 1 << 18
 #: Bytes of a word compared at once; longer ones are told apart one by one.
 NEAR = 24
 

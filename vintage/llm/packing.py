@@ -133,7 +133,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: i
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.bounded(batches, "text"):
+        for batch in common.bounded(batches, "text", tokens.BATCH_BYTES):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.documents_ids(vocabulary, batch.column(1).to_pylist())):
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):

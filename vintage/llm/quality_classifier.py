@@ -24,6 +24,8 @@ from vintage.llm import common
 TRAIN_ROWS = 3_000
 RANK = 48
 NEIGHBOURS = 15
+#: Documents compared with all labelled vectors at once.
+ROWS = 128
 #: Similarities that differ by no more are equal.
 TIE = 1e-6
 THRESHOLD = 0.7
@@ -103,9 +105,10 @@ class Model:
         # Rows as similar as the last neighbour, copies of one text above all, share its place among the neighbours.
         above, level = similar > last + TIE, np.abs(similar - last) <= TIE
         part = (k - above.sum(1)) / level.sum(1)
-        weight = np.maximum(similar, 0).astype(np.float64) * (above + level * part[:, None])
-        total = weight.sum(1)
-        share = weight @ self.labels / np.maximum(total, 1e-12)
+        near, other = np.where(above, np.maximum(similar, 0), 0), np.where(level, np.maximum(similar, 0), 0)
+        total = near.sum(1, dtype=np.float64) + part * other.sum(1, dtype=np.float64)
+        good = self.labels > 0.5
+        share = (near[:, good].sum(1, dtype=np.float64) + part * other[:, good].sum(1, dtype=np.float64)) / np.maximum(total, 1e-12)
         return np.where(total > 1e-9, share.clip(0, 1), float(self.labels.mean()))
 
 
@@ -139,10 +142,10 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.bounded(batches, "scored_text"):
+        for batch in common.bounded(batches, "scored_text", 4 << 20):
             texts, scores = common.byte_list(batch.column(0)), []
-            for at in range(0, len(texts), 512):
-                scores.append(sent.value.score(np.array([term_counts(t) for t in texts[at : at + 512]])))
+            for at in range(0, len(texts), ROWS):
+                scores.append(sent.value.score(np.array([term_counts(t) for t in texts[at : at + ROWS]])))
             found = np.concatenate(scores)
             yield pa.RecordBatch.from_arrays([batch.column(k + 1) for k in range(len(keep))] + [pa.array(found, pa.float64()), pa.array((found >= THRESHOLD).astype(np.int32))], [*keep, "score", "predicted"])
 

@@ -170,7 +170,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, shard_ids:
     kind = tokens.id_kind(vocabulary)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.bounded(batches, "text"):
+        for batch in common.bounded(batches, "text", tokens.BATCH_BYTES):
             texts = batch.column(1).to_pylist()
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             doc_ids = batch.column(0).fill_null(0).to_numpy()

@@ -22,6 +22,8 @@ import numpy as np
 END_ID = 0
 END = END_ID.to_bytes(4, "little")
 CACHE_WORDS = 300_000
+#: Bytes of text encoded together; memory is about 25 times as much.
+BATCH_BYTES = 2 << 20
 
 #: Blanks other than " " and line ends next to a blank, or blanks at the end: the pre-tokeniser's pattern sees to such a text.
 _ODD = re.compile(r"[^\S \n]\s|\s[^\S \n]|\s\s\Z")
