@@ -328,6 +328,7 @@ w AS (SELECT e.as_of, symbol, CASE WHEN n < 3 THEN ey ELSE least(greatest(ey, le
 z AS (SELECT as_of, symbol, 0.5 * CASE WHEN stddev_samp(x) OVER d > 0 THEN (x - avg(x) OVER d) / stddev_samp(x) OVER d ELSE 0 END + 0.5 * CASE WHEN stddev_samp(y) OVER d > 0 THEN (y - avg(y) OVER d) / stddev_samp(y) OVER d ELSE 0 END AS v FROM w WINDOW d AS (PARTITION BY as_of))
 SELECT dec.as_of, dec.symbol, round(coalesce(v, 0), 8) + 0.0 AS value, CASE WHEN v IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS confidence FROM dec LEFT JOIN z ON z.as_of = dec.as_of AND z.symbol = dec.symbol""", "bars", "universe", "facts", "splits")
 def signal_value_quality(t):
+    t.keep("bars", "universe", "facts")
     return scored(signals.value_quality(t.facts, t.bars, t.splits, decisions(t)))
 
 
@@ -390,6 +391,7 @@ def realised_vol(t):
 
 def price_signals(t, *names: str):
     """Scores of the named price signals, or of all three from one look-up."""
+    t.keep("bars", "universe")
     d, of = decisions(t), {"momentum": signals.momentum, "reversal": signals.reversal, "candles": signals.candles}
     found = {k: of[k](t.bars, d) for k in names} if names else signals.price_features(t.bars, d)
     return {k: scored(df) for k, df in found.items()}
@@ -601,6 +603,8 @@ def walk_windows(t):
 
 
 def span(t) -> tuple[dt.date, dt.date]:
+    """First and last date; bars are written first, as what asks for a span reads them many times."""
+    t.keep("bars", "universe")
     row = t.bars.agg(F.min("date"), F.max("date")).first()
     return row[0], row[1]
 
@@ -819,4 +823,5 @@ _with_plan("placebo_histogram", lambda t: studies.histogram(placebo_study(t)))
 @query()
 def correlation_probe(t):
     """DG1: mean pairwise correlation and diversification of what momentum picks at its last decisions, beside what noise picks."""
+    t.keep("bars", "universe")
     return studies.correlation_probe(t.bars, decisions(t, 63), {"momentum": lambda d: signals.momentum(t.bars, d), "random": lambda d: signals.random_scores(d, 1)})

@@ -6,8 +6,12 @@ are exact in either engine; derived products are not rounded.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from vintage.sources import scratch
+
 #: Name of each domain table, its SQL, and the domain tables it reads.
 SQL: dict[str, str] = {
     "bars": """
@@ -89,17 +93,17 @@ NEEDS: dict[str, tuple[str, ...]] = {name: ("bars",) for name in ("universe", "s
 RAW = ("lineitem", "part", "documents", "events")
 
 
-def with_clause(*names: str) -> str:
-    """WITH ... that defines the named tables and what they read."""
-    wanted = [n for n in SQL if n in names or any(n in NEEDS.get(m, ()) for m in names)]
-    return "WITH " + ",\n".join(f"{n} AS ({SQL[n].strip()})" for n in wanted) + "\n"
+def with_clause(*names: str, given: Iterable[str] = ()) -> str:
+    """WITH ... that defines the named tables and what they read, but for those given as views."""
+    wanted = [n for n in SQL if n not in given and (n in names or any(n in NEEDS.get(m, ()) for m in names))]
+    return "WITH " + ",\n".join(f"{n} AS ({SQL[n].strip()})" for n in wanted) + "\n" if wanted else ""
 
 
 class Tables:
     """The domain tables of one folder, each built when first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self._made = spark, folder, {}
+        self.spark, self.folder, self._made, self._kept = spark, folder, {}, {}
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -108,7 +112,15 @@ class Tables:
         """A query over the named domain tables."""
         for raw in RAW:
             self.raw(raw).createOrReplaceTempView(raw)
-        return self.spark.sql(with_clause(*names) + text)
+        for name, table in self._kept.items():
+            table.createOrReplaceTempView(name)
+        return self.spark.sql(with_clause(*names, given=self._kept) + text)
+
+    def keep(self, *names: str) -> None:
+        """Write the named tables once, for a plan that reads them many times; those that read them come from what was written."""
+        for name in names:
+            if name not in self._kept:
+                self._made[name] = self._kept[name] = scratch.written(getattr(self, name), name)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SQL:
