@@ -35,6 +35,11 @@ def drawdown(curve: DataFrame, by: list[str]) -> DataFrame:
 
 def metrics(curve: DataFrame, by: list[str]) -> DataFrame:
     """total_return, cagr, sharpe and max_drawdown for each curve (by, date, equity); a curve of under two points or a non-positive start has zeros."""
+    return measured(curve, by).drop("n_dates")
+
+
+def measured(curve: DataFrame, by: list[str]) -> DataFrame:
+    """metrics and n_dates, the points of the curve, from one pass over it."""
     before = F.lag("equity").over(Window.partitionBy(*by).orderBy("date"))
     whole = drawdown(curve, by).withColumn("r", F.when(before > 0, F.col("equity") / before - 1))
     found = whole.groupBy(*by).agg(
@@ -47,7 +52,7 @@ def metrics(curve: DataFrame, by: list[str]) -> DataFrame:
     grown = F.when(F.col("last") > 0, F.pow(F.col("last") / safe, 1 / years) - 1).otherwise(-1.0)
     sharpe = F.when((F.col("n_r") >= 2) & (F.col("sd") > 0), F.try_divide("mean", "sd") * YEAR**0.5).otherwise(0.0)
     zero = lambda c: F.when(usable, c).otherwise(0.0)
-    return found.select(*by, zero(F.col("last") / safe - 1).alias("total_return"), zero(grown).alias("cagr"), zero(sharpe).alias("sharpe"), zero(F.least("dd", F.lit(0.0))).alias("max_drawdown"))
+    return found.select(*by, zero(F.col("last") / safe - 1).alias("total_return"), zero(grown).alias("cagr"), zero(sharpe).alias("sharpe"), zero(F.least("dd", F.lit(0.0))).alias("max_drawdown"), F.col("n").alias("n_dates"))
 
 
 def aligned_returns(left: DataFrame, right: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -139,15 +144,15 @@ def walk_windows(start: dt.date, end: dt.date, n: int = 4, holdout: float = HOLD
     return out + [("holdout", begin, end)] * (days > 0)
 
 
-def verdicts(windows: DataFrame, strategy: DataFrame, benchmark: DataFrame, dates: DataFrame, by: list[str]) -> DataFrame:
+def verdicts(windows: DataFrame, strategy: DataFrame, benchmark: DataFrame, by: list[str]) -> DataFrame:
     """One row for each of by: a window passes with an edge in Sharpe of EDGE and no deeper drawdown; the gate with most research windows and the holdout.
 
-    windows (run, kind, window), strategy and benchmark are metrics by run, dates has n_dates, of the shorter of both curves; under two fail.
+    windows (run, kind, window), strategy and benchmark are measured by run; a window fails where either curve has under two dates.
     """
-    s = strategy.select("run", F.col("sharpe").alias("s"), F.col("max_drawdown").alias("sd"))
-    b = benchmark.select("run", F.col("sharpe").alias("b"), F.col("max_drawdown").alias("bd"))
-    one = windows.join(s, "run", "left").join(b, "run", "left").join(dates, "run", "left")
-    one = one.withColumn("edge", F.col("s") - F.col("b")).withColumn("passed", F.coalesce((F.col("n_dates") >= 2) & (F.col("edge") >= EDGE) & (F.col("sd") >= F.col("bd")), F.lit(False)))
+    s = strategy.select("run", F.col("sharpe").alias("s"), F.col("max_drawdown").alias("sd"), F.col("n_dates").alias("s_dates"))
+    b = benchmark.select("run", F.col("sharpe").alias("b"), F.col("max_drawdown").alias("bd"), F.col("n_dates").alias("b_dates"))
+    one = windows.join(s, "run", "left").join(b, "run", "left")
+    one = one.withColumn("edge", F.col("s") - F.col("b")).withColumn("passed", F.coalesce((F.col("s_dates") >= 2) & (F.col("b_dates") >= 2) & (F.col("edge") >= EDGE) & (F.col("sd") >= F.col("bd")), F.lit(False)))
     research = F.col("kind") == "research"
     return one.groupBy(*by).agg(
         F.count_if(research & F.col("passed")).alias("research_passed"), F.count_if(research).alias("research_total"),

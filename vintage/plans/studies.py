@@ -81,9 +81,7 @@ def benchmark_curves(bench: DataFrame, runs: DataFrame, cash: float = 10_000.0)
 
 def studied(runs: DataFrame, windows: DataFrame, folded: DataFrame, bench: DataFrame, by: list[str]) -> DataFrame:
     """Verdicts of runs (run) that are windows (run, kind, and by)."""
-    curves, held = equity_of(folded), benchmark_curves(bench, runs)
-    both = curves.groupBy("run").agg(F.count("*").alias("a")).join(held.groupBy("run").agg(F.count("*").alias("b")), "run")
-    return evaluate.verdicts(windows, evaluate.metrics(curves, ["run"]), evaluate.metrics(held, ["run"]), both.select("run", F.least("a", "b").alias("n_dates")), by)
+    return evaluate.verdicts(windows, evaluate.measured(equity_of(folded), ["run"]), evaluate.measured(benchmark_curves(bench, runs), ["run"]), by)
 
 
 def window_runs(spark: SparkSession, names: list[str], start: dt.date, end: dt.date, n: int = 4, holdout: float = evaluate.HOLDOUT) -> tuple[DataFrame, DataFrame]:
