@@ -181,8 +181,10 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, shard_ids:
             heads = [None if t is None else t[:HEAD_BYTES].encode()[:HEAD_BYTES] for t in texts]
             ids = [np.append(own, tokens.END_ID).astype(kind).tobytes() for own in tokens.encoder(vocabulary).batch(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(dealt.astype(np.int32)), batch.column(0), pa.array(heads, pa.binary()), pa.array(ids, pa.binary())], ["dealt", "doc_id", "head", "ids"])
+            common.give_back()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         partition, number, ids, pieces, size = None, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -215,6 +217,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     schema = "shard_partition int, shard_number int, place int, doc_id long, local_start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             for content in batch.column(0):
                 buffer = content.as_buffer()

@@ -19,6 +19,8 @@ from operator import attrgetter
 
 import numpy as np
 
+from vintage.llm import common
+
 END_ID = 0
 END = END_ID.to_bytes(4, "little")
 CACHE_WORDS = 300_000
@@ -230,6 +232,12 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Drop this worker's encoders and their caches: a task that encodes nothing has no use for them."""
+    _encoders.clear()
+    common.give_back()
+
+
 def id_kind(path: str) -> str:
     """The narrowest array kind that holds the vocabulary's ids."""
     return "<u2" if encoder(path).library.get_vocab_size() <= 1 << 16 else "<u4"
