@@ -141,6 +141,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: i
                     rows.append((doc_id, k, start, length, tokens.crc(own), own)[: len(names)])
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+            common.give_back()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select("doc_id", "text").mapInArrow(pieces, schema).withColumn("part", F.spark_partition_id())
