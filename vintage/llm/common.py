@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 #: glibc's; other C libraries have none.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Bytes of an Arrow batch on its way to Python, where the session allows more; a row that is longer goes alone.
+ARROW_BYTES = 4 << 20
+#: Rows of a batch from bounded().
+MOST_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +58,49 @@ def give_back() -> None:
         _TRIM(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes: by rows alone, one holds 10,000 texts or all stored segments of a partition."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
+def drop_encoders() -> None:
+    """Drop the token encoders that an earlier task left in this worker, if one did."""
+    if tokens := sys.modules.get("vintage.llm.tokens"):
+        tokens.forget()
+
+
+def map_batches(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, encodes: bool = False) -> DataFrame:
+    """df.mapInArrow(rows, schema) over small batches; workers give freed memory back after each batch and, unless rows encodes tokens, drop the encoders."""
+    small_batches(df.sparkSession)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encodes:
+            drop_encoders()
+        for found in rows(batches):
+            yield found
+            del found
+            give_back()
+        give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+def map_groups(left: DataFrame, right: DataFrame, key: str, tables: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """tables(left, right) of each key's rows, as map_batches."""
+    small_batches(left.sparkSession)
+
+    def lean(mine: pa.Table, other: pa.Table) -> pa.Table:
+        drop_encoders()
+        found = tables(mine, other)
+        give_back()
+        return found
+
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(lean, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -69,7 +117,10 @@ def byte_list(column: pa.Array) -> list[bytes | None]:
 
 
 def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices whose texts hold at most limit bytes together (one row at least), so that memory doesn't follow the batch size."""
+    """The rows dealt anew: batches whose texts hold at most limit bytes together (one row at least), so that memory doesn't follow the batch size."""
+    held: list[pa.RecordBatch] = []
+    n, size = 0, 0
+    together = lambda: held[0] if len(held) == 1 else pa.concat_batches(held)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -78,9 +129,17 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20
         at = 0
         while at < batch.num_rows:
             before = int(ends[at - 1]) if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
-            yield batch.slice(at, stop - at)
-            at = stop
+            stop = min(int(np.searchsorted(ends, before + limit - size, "right")), at + MOST_ROWS - n)
+            if stop <= at and held:
+                yield together()
+                held, n, size = [], 0, 0
+                continue
+            stop = max(at + 1, stop)
+            held.append(batch.slice(at, stop - at))
+            n, size, at = n + stop - at, size + int(ends[stop - 1]) - before, stop
+        del batch
+    if held:
+        yield together()
 
 
 def union_find(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -225,7 +225,7 @@ def build_index(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), *(pa.array([x], t) for x, t in zip(row, kinds))], ["segment", "doc_ids", "n_words", "terms", "counts", "positions"])
             made += 1
 
-    return common.written(docs.select("doc_id", "text").mapInArrow(segments, INDEX_SCHEMA), "postings")
+    return common.written(common.map_batches(docs.select("doc_id", "text"), segments, INDEX_SCHEMA), "postings")
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +281,7 @@ def search(index: DataFrame, phrases: list[tuple[str, tuple[bytes, ...]]], withi
                     columns = [[number] * len(hit), hit, [exact.get(d, []) for d in hit], [close.get(d, []) for d in hit], *([spans.get(d, ([], []))[side] for d in hit] for side in (0, 1))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["segment", "place", "names", "near", "starts", "ends"])
 
-    return index.mapInArrow(rows, FOUND_SCHEMA)
+    return common.map_batches(index, rows, FOUND_SCHEMA)
 
 
 def _covered(spans: Column) -> Column:

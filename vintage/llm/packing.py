@@ -141,10 +141,9 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: i
                     rows.append((doc_id, k, start, length, tokens.crc(own), own)[: len(names)])
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-            common.give_back()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(pieces, schema).withColumn("part", F.spark_partition_id())
+    return common.map_batches(docs.select("doc_id", "text"), pieces, schema, encodes=True).withColumn("part", F.spark_partition_id())
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -176,7 +175,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = pieces.withColumn("local", F.row_number().over(Window.partitionBy("part", "length").orderBy(*order)))
     ranked = ranked.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("local") - 1).drop("part", "base", "local")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.drop("rank").schema)
-    return ranked.mapInArrow(places, f"{fields}, sequence_id long, offset long")
+    return common.map_batches(ranked, places, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

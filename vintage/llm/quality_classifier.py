@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     # Broadcast: rows ids at most.
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", F.col("quality").cast("int"))
-    found = texts.mapInArrow(vectors, "doc_id long, quality int, counts binary").collect()
+    found = common.map_batches(texts, vectors, "doc_id long, quality int, counts binary").collect()
     found = sorted(found, key=lambda r: (r["doc_id"], r["counts"]))
     counts = np.array([np.frombuffer(r["counts"], np.float16) for r in found], np.float32).reshape(len(found), TERMS)
     return Model.fit(counts, np.array([r["quality"] == 1 for r in found]))
@@ -151,7 +151,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["score double", "predicted int"])
-    return docs.select(F.col("text").alias("scored_text"), *keep).mapInArrow(rows, schema)
+    return common.map_batches(docs.select(F.col("text").alias("scored_text"), *keep), rows, schema)
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:

@@ -87,7 +87,7 @@ def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"{s} long" for s in STATISTICS])
-    return docs.select("text", *keep).mapInArrow(rows, schema)
+    return common.map_batches(docs.select("text", *keep), rows, schema)
 
 
 @dataclass(frozen=True)

@@ -106,7 +106,7 @@ def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(k + 1) for k in range(len(keep))] + [pa.array(found)], [*keep, "fp"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select("text", *keep).mapInArrow(rows, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["fp long"]))
+    return common.map_batches(docs.select("text", *keep), rows, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["fp long"]))
 
 
 def spanning_links(lists: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +184,7 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
         if size:
             yield found(np.concatenate(held))
 
-    return dealt.mapInArrow(rows, "u long, v long")
+    return common.map_batches(dealt, rows, "u long, v long")
 
 
 def classes(docs: DataFrame, *keep: str, block: int = BLOCK) -> DataFrame:

@@ -39,8 +39,11 @@ GRAM = 16
 #: Grams in a string; an anchor's strings start up to REACH bytes before it.
 REACH = LENGTH - GRAM
 WIDTH = REACH + LENGTH
-CHUNK_BYTES = 2 << 20
+#: Bytes of text whose anchors are found at once; memory is about 40 times as much.
+CHUNK_BYTES = 512 << 10
 BLOCK_BYTES = 16 << 20
+#: Anchors of a bucket that are sorted together, those of one hash at least.
+TOGETHER = 200_000
 
 #: Bytes of text for each task at least, where that makes more tasks than spark.sql.shuffle.partitions.
 TASK_BYTES = 64 << 20
@@ -124,7 +127,7 @@ def _decode(blob: bytes, kinds: str) -> list[np.ndarray]:
     data = zstandard.ZstdDecompressor().decompress(blob, max_output_size=1 << 31)
     n, at, out = len(data) // np.dtype([(str(k), t) for k, t in enumerate(kinds.split())]).itemsize, 0, []
     for kind in kinds.split():
-        out.append(np.frombuffer(data, kind, n, at))
+        out.append(np.frombuffer(data, kind, n, at).copy())  # each can go by itself
         at += out[-1].nbytes
     return out
 
@@ -245,14 +248,19 @@ def repeated_starts(grams: np.ndarray, order: np.ndarray, left: np.ndarray, righ
 def _gathered(batches: Iterator[pa.RecordBatch], kinds: str) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The arrays of each key's blobs together; rows come sorted by key."""
     key, held = None, []
-    together = lambda: [np.concatenate(c) for c in zip(*held)]
+
+    def together() -> list[np.ndarray]:
+        # One column after the other, the pieces of those before are gone.
+        columns = [list(c) for c in zip(*held)]
+        held.clear()
+        return [np.concatenate(columns.pop(0)) for _ in range(len(columns))]
+
     for batch in batches:
-        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
             if k != key and held:
                 yield key, together()
-                held = []
             key = k
-            held.append(_decode(blob, kinds))
+            held.append(_decode(blob.as_buffer(), kinds))
     if held:
         yield key, together()
 
@@ -274,6 +282,17 @@ def _flags_by_document(right: pa.Table, mark_kind: str) -> dict[tuple[int, int],
     return {(int(order[a]), int(tag[a])): [place[a:b].astype(np.int64), state[a:b]] for a, b in zip(cuts, [*cuts[1:], len(order)])}
 
 
+def _bucket_states(grams: np.ndarray, contexts: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """shared_anchors of a bucket, whose hashes are six bytes each: by their last byte in parts, each hash whole."""
+    low = grams.view(np.uint8).reshape(-1, 6)[:, 0]
+    n, out = min(256, max(1, len(low) // TOGETHER)), np.zeros(len(low), np.uint8)
+    for part in range(n):
+        own = np.flatnonzero(low % n == part)
+        if len(own):
+            out[own] = shared_anchors(_from_six(grams[own]), _from_six(contexts[own]), order[own])
+    return out
+
+
 def removed_spans(size: int, places: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal removed runs of a document: starts and ends."""
     if size < LENGTH or not len(places):
@@ -305,42 +324,63 @@ def repeats(docs: DataFrame, *keep: str, with_text: bool = False) -> DataFrame:
     texts = docs.select(order.alias("ord"), tag.alias("tag"), "text")
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in common.bounded(batches, "text", BLOCK_BYTES):
-            found: list[tuple[np.ndarray, ...]] = []
-            for batch in common.bounded(iter([group]), "text", CHUNK_BYTES):
-                own, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                for ids, marks, offset, goes_on, sizes, data in _pieces(own, tags, common.byte_list(batch.column(2))):
-                    at, places = anchors(data, sizes)
-                    if not len(places):
-                        continue
-                    ends = np.cumsum(sizes)
-                    starts = ends - sizes
-                    rows, left, right = context_rows(data, places, starts[at], ends[at])
-                    padded = np.r_[data, np.zeros(GRAM, np.uint8)]
-                    grams = _mix(_load(padded, places) * _M1 + (_load(padded, places + 8) ^ _M2) * _M2)
-                    # At the cut of a very long document the neighbouring part has the full context.
-                    whole = ((offset[at] == 0) | (left == REACH)) & (~goes_on[at] | (right == LENGTH))
-                    found.append(tuple(x[whole] for x in (grams, context_hashes(rows, left, right), ids[at], marks[at], places - starts[at] + offset[at])))
-            if not found:
-                continue
-            grams, contexts, ids, marks, places = (np.concatenate(c) for c in zip(*found))
-            bucket = bucket_of(grams, n_blocks)
-            out = [(key, _columns(_six(grams[by[s]]), _six(contexts[by[s]]), ids[by[s]].astype("<i8"), marks[by[s]].astype(mark_kind), places[by[s]].astype("<u4"))) for key, s, by in _split(bucket)]
-            yield _blobs(["bucket", "blob"], out)
+        found: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            columns = [list(c) for c in zip(*found)]
+            found.clear()
+            bucket, *columns = [np.concatenate(columns.pop(0)) for _ in range(len(columns))]
+            out, held = [], 0
+            for key, s, by in _split(bucket):
+                out.append((key, _columns(*(c[by[s]] for c in columns))))
+                held += len(out[-1][1])
+                if held >= common.ARROW_BYTES:
+                    yield _blobs(["bucket", "blob"], out)
+                    out, held = [], 0
+            if out:
+                yield _blobs(["bucket", "blob"], out)
+
+        for batch in common.bounded(batches, "text", min(CHUNK_BYTES, BLOCK_BYTES)):
+            own, tags, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), common.byte_list(batch.column(2))
+            more = sum(len(t or b"") for t in texts)
+            if found and size + more > BLOCK_BYTES:
+                yield from dealt()
+                size = 0
+            size += more
+            for ids, marks, offset, goes_on, sizes, data in _pieces(own, tags, texts):
+                at, places = anchors(data, sizes)
+                if not len(places):
+                    continue
+                ends = np.cumsum(sizes)
+                starts = ends - sizes
+                rows, left, right = context_rows(data, places, starts[at], ends[at])
+                padded = np.r_[data, np.zeros(GRAM, np.uint8)]
+                grams = _mix(_load(padded, places) * _M1 + (_load(padded, places + 8) ^ _M2) * _M2)
+                # At the cut of a very long document the neighbouring part has the full context.
+                whole = ((offset[at] == 0) | (left == REACH)) & (~goes_on[at] | (right == LENGTH))
+                at, places, grams, contexts = at[whole], places[whole], grams[whole], context_hashes(rows, left, right)[whole]
+                found.append((bucket_of(grams, n_blocks).astype(np.int32), _six(grams), _six(contexts), ids[at].astype("<i8"), marks[at].astype(mark_kind), (places - starts[at] + offset[at]).astype("<u4")))
+        if found:
+            yield from dealt()
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (grams, contexts, ids, marks, places) in _gathered(batches, ENTRY.format(mark_kind)):
-            state = shared_anchors(_from_six(grams), _from_six(contexts), ids)
+        def flagged(grams: np.ndarray, contexts: np.ndarray, ids: np.ndarray, marks: np.ndarray, places: np.ndarray) -> list[tuple[int, bytes]]:
+            state = _bucket_states(grams, contexts, ids)
             kept = np.flatnonzero(state)
-            if not len(kept):
-                continue
             ids, marks, places, state = ids[kept], marks[kept], places[kept], state[kept]
             by = np.lexsort((places, ids))
             ids, marks, places, state = ids[by], marks[by], places[by], state[by]
-            yield _blobs(["block", "blob"], [(key, _columns(ids[o[s]], marks[o[s]], places[o[s]], state[o[s]])) for key, s, o in _split(block_of(ids ^ marks, n_blocks))])
+            return [(key, _columns(ids[o[s]], marks[o[s]], places[o[s]], state[o[s]])) for key, s, o in _split(block_of(ids ^ marks, n_blocks))]
+
+        for _, columns in _gathered(batches, ENTRY.format(mark_kind)):
+            found = flagged(*columns)
+            del columns  # before the next bucket is gathered
+            if found:
+                yield _blobs(["block", "blob"], found)
 
-    buckets = texts.mapInArrow(entries, "bucket long, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    flags = common.written(buckets.mapInArrow(states, "block long, blob binary"), "anchors")
+    buckets = common.map_batches(texts, entries, "bucket long, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    flags = common.written(common.map_batches(buckets, states, "block long, blob binary"), "anchors")
 
     def contexts_of(left: pa.Table, right: pa.Table) -> pa.Table:
         wanted, found = _flags_by_document(right, mark_kind), []
@@ -414,9 +454,9 @@ def repeats(docs: DataFrame, *keep: str, with_text: bool = False) -> DataFrame:
     kept = (F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep))
     dealt = docs.select(order.alias("ord"), tag.alias("tag"), "doc_id", "text", *kept).select(block, "*")
     # Both look at the texts in the same blocks: one exchange serves both.
-    around = dealt.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(contexts_of, "bucket long, blob binary")
-    starts = around.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(compared, "block long, blob binary")
-    return dealt.groupBy("block").cogroup(flags.unionByName(starts).groupBy("block")).applyInArrow(cut, schema)
+    around = common.map_groups(dealt, flags, "block", contexts_of, "bucket long, blob binary")
+    starts = common.map_batches(around.repartition(n, "bucket").sortWithinPartitions("bucket"), compared, "block long, blob binary")
+    return common.map_groups(dealt, flags.unionByName(starts), "block", cut, schema)
 
 
 def _load(data: np.ndarray, places: np.ndarray) -> np.ndarray:
